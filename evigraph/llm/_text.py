@@ -148,6 +148,27 @@ def segment_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+class Lookup:
+    """A map from 64-bit hashes to numbers behind a bitmap that turns most others away."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        bits = min(26, max(18, len(keys).bit_length() + 4))
+        self.shift = np.uint64(64 - bits)
+        self.bits = np.zeros(1 << bits, bool)
+        self.bits[keys >> self.shift] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in h, values)"""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), self.values[:0]
+        at = np.flatnonzero(self.bits[h >> self.shift])
+        k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        ok = self.keys[k] == h[at]
+        return at[ok], self.values[k[ok]]
+
+
 def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of every run, concatenated."""
     ends = np.cumsum(counts)

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import language_id, packing, toxicity
+from evigraph.llm import jaccard_join, language_id, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._text import IS_LETTER, IS_SPACE, LOWER, Spans, in_fold, read, segment_sum, text_blocks, unit
+from evigraph.llm._text import IS_LETTER, IS_SPACE, LOWER, Lookup, Spans, in_fold, read, segment_sum, text_blocks, unit
 from evigraph.llm._trees import Boosted, fit_boosted, fit_isotonic
 
 #: Most labelled rows of a class, in expectation, for the lexicon and for trees with calibration.
@@ -71,25 +71,6 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return Spans(buf, np.ones(len(buf), bool), offs).hashes(WHOLE)
 
 
-class Lookup:
-    """A map from 64-bit hashes to numbers behind a bitmap that turns most others away."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        self.bits = np.zeros(1 << 18, bool)
-        self.bits[keys >> np.uint64(46)] = True
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions in h, values)"""
-        if not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.flatnonzero(self.bits[h >> np.uint64(46)])
-        k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        ok = self.keys[k] == h[at]
-        return at[ok], self.values[k[ok]]
-
-
 _SECOND = Lookup(_hash_words(SECOND_PERSON), np.ones(len(SECOND_PERSON)))
 
 
