@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._text import expand, read, segment_sum, text_blocks, words
+from evigraph.llm._text import IS_LETTER, LOWER, Spans, expand, read, segment_sum, text_blocks, words
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -36,15 +36,34 @@ GROUP_TOKENS = 1 << 20
 _TABLE_BITS, _TABLE_WORDS = 21, 1 << 20
 
 
+_MARKS = np.zeros(256, bool)
+_MARKS[[ord(x) for x in ".,;:!?"]] = True
+_coders: dict[str, WordIds] = {}
+
+
+def coder(path: str) -> WordIds:
+    """The tokenizer of a file with its cache; tasks of a Python worker share it."""
+    if path not in _coders:
+        from tokenizers import Tokenizer
+
+        _coders.clear()
+        _coders[path] = WordIds(Tokenizer.from_file(path))
+    return _coders[path]
+
+
 class WordIds:
-    """Token ids of words, cached by hash; the tokenizer sees each word of a task once.
+    """Token ids of words, cached by hash; the tokenizer sees a cached word once.
 
     It may be used only for tokenizers that drop white space and never join
-    across it, as those of whole-word BPE with word ends do.
+    across it, as those of whole-word BPE with word ends do. Where the
+    tokenizer ignores case, words are cached in lower case, and where it cuts
+    letters from other characters, without a closing punctuation mark.
     """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        said = tokenizer.to_str()
+        self.ignores_case, self.cuts = '"Lowercase"' in said, "[^\\\\s\\\\p{L}\\\\p{N}]+" in said
         self._clear()
 
     def _clear(self) -> None:
@@ -90,7 +109,11 @@ class WordIds:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's documents, each ended by END_ID, and document offsets in them."""
+        if self.ignores_case and b"<|" not in buf.tobytes():  # special tokens keep their case
+            buf = LOWER[buf]
         w = words(buf, offs)
+        if self.cuts:
+            w = _without_marks(w, offs)
         h = np.maximum(w.hashes(), np.uint64(1))
         number = self._probe(h)
         missed = np.flatnonzero(number < 0)
@@ -115,6 +138,21 @@ class WordIds:
         return out, bounds
 
 
+def _without_marks(w: Spans, offs: np.ndarray) -> Spans:
+    """The same runs, with one closing mark after a Latin letter as a run of its own."""
+    buf, last, length = w.buf, w.ends - 1, w.ends - w.starts
+    before, lead = buf[np.maximum(last - 1, 0)], buf[np.maximum(last - 2, 0)]
+    ascii_letter = IS_LETTER[before] & (before < 128)
+    latin_letter = (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (length > 2)
+    own = _MARKS[buf[last]] & (length > 1) & (ascii_letter | latin_letter)
+    at = np.flatnonzero(own) + 1
+    w.starts, ends = np.insert(w.starts, at, last[own]), w.ends - own
+    w.ends = np.insert(ends, at, w.ends[own])
+    w.first = np.searchsorted(w.starts, offs)
+    w.counts = np.diff(w.first)
+    return w
+
+
 class Packer:
     """Packs items (document number, first id, length) of one task into exactly full windows."""
 
@@ -198,9 +236,7 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        coder = WordIds(Tokenizer.from_file(tokenizer_path))
+        encoder = coder(tokenizer_path)
         packer, above = Packer(), TaskContext.get().partitionId() << 40
         ids: dict[int, np.ndarray] = {}
         names: dict[int, object] = {}
@@ -242,7 +278,7 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFr
             kinds = kinds or [batch.schema.types[0], *[pa.int64()] * 8, *([pa.list_(pa.int32())] if with_ids else [])]
             keys = batch.column(0).to_pylist()
             for i, _, buf, offs in text_blocks(batch.column(1)):
-                flat, bounds = coder.encode(buf, offs)
+                flat, bounds = encoder.encode(buf, offs)
                 for d in range(len(bounds) - 1):
                     doc = state["doc"]
                     state["doc"] += 1
