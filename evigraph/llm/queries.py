@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import ann_search, decontamination, jaccard_join, language_id, packing, toxicity
+from evigraph.llm import ann_search, cotraining, decontamination, jaccard_join, language_id, licenses, packing, quotes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_quote_linking": quotes.op2_quote_linking,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_packing": packing.op4_packing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_curve_search": ann_search.op6_curve_search,
+    "op7_quality_cotraining": cotraining.op7_quality_cotraining,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
