@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import ann_search, cotraining, decontamination, jaccard_join, language_id, licenses, packing, quotes, toxicity
+from evigraph.llm import ann_search, context_mixing, cotraining, decontamination, jaccard_join, language_id, licenses, packing, quotes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_curve_search": ann_search.op6_curve_search,
     "op7_quality_cotraining": cotraining.op7_quality_cotraining,
+    "op8_context_mixing": context_mixing.op8_context_mixing,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_license_scan": licenses.op10_license_scan,
 }
