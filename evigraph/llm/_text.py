@@ -190,7 +190,13 @@ def unit(doc_id: str, salt: int) -> Column:
     return F.pmod(F.xxhash64(F.col(doc_id), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
 
 
+#: Rows of an Arrow batch for texts; with Spark's default of 10,000, batches of long texts take a worker's memory.
+BATCH_ROWS = "1000"
+
+
 def read(spark, sf_dir: str, table: str) -> DataFrame:
+    """A table; the session's Arrow batches are kept small enough for whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -212,6 +218,13 @@ def scratch(spark, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def with_text(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, int]:
+    """The columns in keep, and the text's place; the text follows them if it isn't among them."""
+    if "text" in keep:
+        return docs.select(*keep), keep.index("text")
+    return docs.select(*keep, F.col("text").alias("__text")), len(keep)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared scratch folder and read back: lineage ends here, and lost executors don't matter."""
     path = scratch(df.sparkSession, name)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._text import BLOCK_BYTES, in_fold, read, unit
+from evigraph.llm._text import BLOCK_BYTES, in_fold, read, unit, with_text
 
 BUCKETS = 1 << 17
 #: Most documents of a language that are learned from, in expectation: the classifier's sample bound.
@@ -180,12 +180,12 @@ def fit(docs: DataFrame, train: Column, max_docs: int = MAX_TRAIN_DOCS) -> Langu
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
     """The columns in keep, and lang_pred, score and mixture (``name:share`` by falling share)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema
+    schema, (rows_in, at) = docs.select(*keep).schema, with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             rows = [m.mixtures(part) for part in _parts(texts)]
             pi = np.concatenate(rows) if rows else np.zeros((0, max(1, len(m.names))))
             found = pi.sum(axis=1) > 0 if len(m.names) else np.zeros(len(texts), bool)
@@ -193,11 +193,10 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
             pred = [m.names[b] if f else "und" for b, f in zip(best, found, strict=True)]
             score = np.clip(pi.max(axis=1), 0, 1) if len(m.names) and len(pi) else np.zeros(len(texts))
             mixed = [",".join(f"{m.names[k]}:{row[k]:.3f}" for k in np.argsort(-row, kind="stable") if row[k] > 0) if f else "" for row, f in zip(pi, found, strict=True)]
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, pa.string())], [*batch.schema.names[:-1], "lang_pred", "score", "mixture"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, pa.string())], [*keep, "lang_pred", "score", "mixture"])
 
     out = schema.add("lang_pred", "string").add("score", "double").add("mixture", "string")
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, out)
+    return rows_in.mapInArrow(run, out)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._text import IS_LETTER, IS_SPACE, LOWER, Lookup, Spans, in_fold, read, segment_sum, text_blocks, unit
+from evigraph.llm._text import IS_LETTER, IS_SPACE, LOWER, Lookup, Spans, in_fold, read, segment_sum, text_blocks, unit, with_text
 from evigraph.llm._trees import Boosted, fit_boosted, fit_isotonic
 
 #: Most labelled rows of a class, in expectation, for the lexicon and for trees with calibration.
@@ -214,15 +214,16 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
     """The columns in keep, score and predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
+    rows_in, at = with_text(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            rows = [m.score(features(buf, offs, m.lexicon)) for _, _, buf, offs in text_blocks(batch.column(batch.num_columns - 1))]
+            rows = [m.score(features(buf, offs, m.lexicon)) for _, _, buf, offs in text_blocks(batch.column(at))]
             s = np.concatenate(rows) if rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, out)
+    return rows_in.mapInArrow(run, out)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
