@@ -135,14 +135,14 @@ def ordered_blocks(vectors: DataFrame) -> DataFrame:
     return cut(ranged.groupBy("part").applyInArrow(number, "curve int, block long, vec_id long, v array<double>"), "blocks")
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Each query's k nearest rows: query ids, row ids, distances."""
+def _nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, limit: np.ndarray, limit_id: np.ndarray, k: int) -> tuple[list, list, list]:
+    """Each query's k nearest rows before its limit (distance, then id): query ids, row ids, distances."""
     a, b, d = [], [], []
-    for own, at in zip(query_ids.tolist(), q, strict=True):
+    for n, (own, at) in enumerate(zip(query_ids.tolist(), q, strict=True)):
         near = np.sqrt(((x - at) ** 2).sum(axis=1))
         near[ids == own] = np.inf
         pick = np.lexsort((ids, near))[:k] if len(near) <= 4 * k else _first(near, ids, k)
-        pick = pick[np.isfinite(near[pick])]
+        pick = pick[np.isfinite(near[pick]) & ((near[pick] < limit[n]) | (near[pick] == limit[n]) & (ids[pick] < limit_id[n]))]
         a += [own] * len(pick)
         b += ids[pick].tolist()
         d += near[pick].tolist()
@@ -159,7 +159,9 @@ def _rerank(k: int):
     def run(table: pa.Table) -> pa.Table:
         query = table["query"].to_numpy(zero_copy_only=False).astype(bool)
         ids, x = table["vec_id"].to_numpy(), _matrix(table["v"].combine_chunks())
-        a, b, d = _nearest(ids[~query], x[~query], ids[query], x[query], k) if (~query).any() else ([], [], [])
+        limit, limit_id = (table[c].to_numpy(zero_copy_only=False)[query].astype(float) for c in ("bound", "bound_id"))
+        limit = np.where(np.isnan(limit), np.inf, limit)
+        a, b, d = _nearest(ids[~query], x[~query], ids[query], x[query], limit, limit_id, k) if (~query).any() else ([], [], [])
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(d, pa.float64())})
 
     return run
@@ -169,10 +171,13 @@ RESULT = "query_id long, vec_id long, score double"
 
 
 def _visit(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """Rerank: asked has (curve, block, vec_id, v) of queries; many queries of a block take several turns."""
+    """Rerank: asked has (curve, block, vec_id, v) of queries, and the bounds that results must come before.
+
+    Many queries of a block take several turns.
+    """
     load = asked.groupBy("curve", "block").agg(F.ceil(F.count("*") / QUERY_TURN).cast("int").alias("turns"))
-    asked = asked.join(load, ["curve", "block"]).select("curve", "block", F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("int").alias("turn"), "vec_id", "v", F.lit(True).alias("query"))
-    held = blocks.join(load, ["curve", "block"]).select("curve", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "vec_id", "v", F.lit(False).alias("query"))
+    asked = asked.join(load, ["curve", "block"]).select("curve", "block", F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("int").alias("turn"), "vec_id", "v", "bound", "bound_id", F.lit(True).alias("query"))
+    held = blocks.join(load, ["curve", "block"]).select("curve", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "vec_id", "v", F.lit(None).cast("double").alias("bound"), F.lit(None).cast("long").alias("bound_id"), F.lit(False).alias("query"))
     return held.union(asked).groupBy("curve", "block", "turn").applyInArrow(_rerank(k), RESULT)
 
 
@@ -208,7 +213,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, exact: bool = T
     blocks = ordered_blocks(rows)
     own = blocks.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("curve", "vec_id").agg(F.min(F.struct("v", "block")).alias("m")).select("curve", "m.block", "vec_id", "m.v")
     near = cut(own.withColumn("block", F.explode(F.sequence(F.col("block") - SIDE, F.col("block") + SIDE))), "windows")
-    found = cut(_merge(_visit(near, blocks, k), k), "found")
+    unbound = near.withColumns({"bound": F.lit(None).cast("double"), "bound_id": F.lit(None).cast("long")})
+    found = cut(_merge(_visit(unbound, blocks, k), k), "found")
     if exact:
         found = cut(_check(found, near, own, blocks, k), "checked")
     order = F.array_sort(F.collect_list(F.struct("score", "vec_id")))
@@ -252,10 +258,10 @@ def _check(found: DataFrame, near: DataFrame, own: DataFrame, blocks: DataFrame,
             out_q.append(np.full(int(hit.sum()), q))
             out_b.append(held[hit])
         rows_q, rows_b = (np.concatenate(v) if v else np.zeros(0, int) for v in (out_q, out_b))
-        return pa.table({"block": pa.array(block[rows_b].astype(np.int64)), "vec_id": table["vec_id"].take(pa.array(rows_q)), "v": table["v"].take(pa.array(rows_q))})
+        return pa.table({"block": pa.array(block[rows_b].astype(np.int64)), **{c: table[c].take(pa.array(rows_q)) for c in ("vec_id", "v", "bound", "bound_id")}})
 
-    pairs = left.union(right).groupBy("share").applyInArrow(bound, "block long, vec_id long, v array<double>")
-    todo = pairs.withColumn("curve", F.lit(0)).join(near.filter("curve = 0").select("block", "vec_id"), ["block", "vec_id"], "left_anti").select("curve", "block", "vec_id", "v")
+    pairs = left.union(right).groupBy("share").applyInArrow(bound, "block long, vec_id long, v array<double>, bound double, bound_id long")
+    todo = pairs.withColumn("curve", F.lit(0)).join(near.filter("curve = 0").select("block", "vec_id"), ["block", "vec_id"], "left_anti").select("curve", "block", "vec_id", "v", "bound", "bound_id")
     return _merge(found.union(_visit(todo, first, k).select("query_id", "vec_id", "score")), k)
 
 
