@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 # arrays
@@ -145,12 +146,12 @@ def escape(s: Column) -> Column:
     return F.concat(F.lit("\\Q"), s, F.lit("\\E"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def from_code_point(n: pd.Series) -> pd.Series:
     return n.map(lambda x: chr(int(x)), na_action="ignore")
 

@@ -46,7 +46,7 @@ class Descriptors:
     ENDS = {"/": "namespace", "#": "type", ".": "term", "!": "macro", ":": "meta"}
 
     def eval(self, moniker: str) -> Iterator[tuple[int, str, str]]:
-        name, pos, k, text = "", 0, 0, (moniker or "").rpartition(" ")[2]
+        name, pos, k, text = "", 0, 0, (moniker or "").split(" ", 4)[-1]
         while k < len(text):
             c = text[k]
             if c == "`":

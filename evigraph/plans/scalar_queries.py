@@ -8,7 +8,9 @@ from evigraph.functions import scalars as s
 from evigraph.plans.registry import query
 from evigraph.sources.domain import table
 
-A = F.split("p_name", " ")
+
+def _words():
+    return F.split("p_name", " ")
 
 
 @query("array_scalars", """WITH a AS (SELECT p_partkey, string_split(p_name, ' ') AS a FROM part) SELECT p_partkey, a[1] AS first, a[-1] AS last, a[10] AS none, (coalesce(list_position(a, 'ring'), 0) - 1)::BIGINT AS idx, array_to_string(a[2:], '-') AS rest, array_to_string(list_reverse(a), ',') AS rev,
@@ -17,10 +19,10 @@ len(list_filter(a, lambda x: len(x) > 4)) > 0 AS some_, len(list_filter(a, lambd
 def array_scalars(spark, d):
     long_ = lambda x: F.length(x) > 4
     return table(spark, d, "part").select(
-        "p_partkey", s.at(A, 0).alias("first"), s.at(A, -1).alias("last"), s.at(A, 9).alias("none"), s.index_of(A, F.lit("ring")).alias("idx"), s.join(s.slice_(A, 1), "-").alias("rest"), s.join(F.reverse(A), ",").alias("rev"),
-        s.join(F.array_sort(A), ",").alias("sorted"), F.array_contains(A, "ring").alias("has"), s.join(F.transform(A, F.upper), " ").alias("up"), F.size(F.filter(A, long_)).alias("long_"),
-        s.join(F.array_append(A, F.lit("z")), " ").alias("pushed"), s.join(F.array_prepend(A, F.lit("0")), " ").alias("shifted"), s.join(s.slice_(A, 0, -1), " ").alias("popped"),
-        F.exists(A, long_).alias("some_"), F.forall(A, lambda x: F.length(x) > 2).alias("every_"), F.aggregate(A, F.lit(0), lambda acc, x: acc + F.length(x)).alias("total"),
+        "p_partkey", s.at(_words(), 0).alias("first"), s.at(_words(), -1).alias("last"), s.at(_words(), 9).alias("none"), s.index_of(_words(), F.lit("ring")).alias("idx"), s.join(s.slice_(_words(), 1), "-").alias("rest"), s.join(F.reverse(_words()), ",").alias("rev"),
+        s.join(F.array_sort(_words()), ",").alias("sorted"), F.array_contains(_words(), "ring").alias("has"), s.join(F.transform(_words(), F.upper), " ").alias("up"), F.size(F.filter(_words(), long_)).alias("long_"),
+        s.join(F.array_append(_words(), F.lit("z")), " ").alias("pushed"), s.join(F.array_prepend(_words(), F.lit("0")), " ").alias("shifted"), s.join(s.slice_(_words(), 0, -1), " ").alias("popped"),
+        F.exists(_words(), long_).alias("some_"), F.forall(_words(), lambda x: F.length(x) > 2).alias("every_"), F.aggregate(_words(), F.lit(0), lambda acc, x: acc + F.length(x)).alias("total"),
     )
 
 
@@ -28,7 +30,7 @@ def array_scalars(spark, d):
 coalesce(list_filter(a, lambda x: starts_with(x, 'b'))[1], '-') AS found, coalesce(list_filter(a, lambda x: starts_with(x, 'b'))[-1], '-') AS found_last, array_to_string(list_reverse(a), '') AS folded FROM a""")
 def array_edit_scalars(spark, d):
     b = lambda x: x.startswith("b")
-    return table(spark, d, "part").select("p_partkey", s.join(s.splice(A, 1, 1, F.lit("x"), F.lit("y")), " ").alias("spliced"), s.join(s.with_(A, 0, F.lit("w")), " ").alias("with0"), s.join(s.fill(A, F.lit("f")), " ").alias("filled"), F.coalesce(s.find(A, b), F.lit("-")).alias("found"), F.coalesce(s.find_last(A, b), F.lit("-")).alias("found_last"), s.reduce_right(A, F.lit(""), lambda acc, x: F.concat(acc, x)).alias("folded"))
+    return table(spark, d, "part").select("p_partkey", s.join(s.splice(_words(), 1, 1, F.lit("x"), F.lit("y")), " ").alias("spliced"), s.join(s.with_(_words(), 0, F.lit("w")), " ").alias("with0"), s.join(s.fill(_words(), F.lit("f")), " ").alias("filled"), F.coalesce(s.find(_words(), b), F.lit("-")).alias("found"), F.coalesce(s.find_last(_words(), b), F.lit("-")).alias("found_last"), s.reduce_right(_words(), F.lit(""), lambda acc, x: F.concat(acc, x)).alias("folded"))
 
 
 @query("string_scalars", """SELECT p_partkey, upper(p_name) AS up, substr(p_name, 3, 1) AS c2, substr(p_name, len(p_name), 1) AS last, substr(p_name, 3, 4) AS sub, strpos(p_name, 'in') - 1 AS idx, lpad(p_brand, greatest(12, len(p_brand))::INT, '*') AS pad, rpad(p_brand, greatest(3, len(p_brand))::INT, '*') AS nopad,
@@ -83,7 +85,7 @@ def regexp_scalars(spark, d):
 
 @query("set_method_scalars", """WITH a AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS x, list_distinct(string_split(lower(p_type), ' ')) AS y FROM part) SELECT p_partkey, len(list_distinct(list_concat(x, y)))::INT AS u, len(list_intersect(x, y))::INT AS i, len(list_filter(x, lambda v: NOT list_contains(y, v)))::INT AS diff, list_has_any(x, y) AS overlap, len(list_filter(x, lambda v: NOT list_contains(y, v))) = 0 AS subset FROM a""")
 def set_method_scalars(spark, d):
-    x, y = F.array_distinct(A), F.array_distinct(F.split(F.lower("p_type"), " "))
+    x, y = F.array_distinct(_words()), F.array_distinct(F.split(F.lower("p_type"), " "))
     return table(spark, d, "part").select("p_partkey", F.size(F.array_union(x, y)).alias("u"), F.size(F.array_intersect(x, y)).alias("i"), F.size(F.array_except(x, y)).alias("diff"), F.arrays_overlap(x, y).alias("overlap"), (F.size(F.array_except(x, y)) == 0).alias("subset"))
 
 

@@ -43,9 +43,8 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """
     raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
     lines = raw.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "value")).filter(F.trim("value") != "")
-    parsed = F.from_json("value", f"{schema}, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = lines.select("file", (F.col("pos") + 1).cast("long").alias("line"), parsed.alias("r"))
-    return rows.select("file", "line", F.col("r._corrupt").isNotNull().alias("torn"), "r.*").drop("_corrupt")
+    rows = lines.select("file", (F.col("pos") + 1).cast("long").alias("line"), F.try_parse_json("value").isNull().alias("torn"), F.from_json("value", schema).alias("r"))
+    return rows.select("file", "line", "torn", "r.*")
 
 
 def log_page(log: DataFrame, after: int, limit: int) -> DataFrame:
