@@ -41,7 +41,7 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     Lines that aren't JSON stay as torn rows, so the cursor stays aligned.
     """
-    raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     lines = raw.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "value")).filter(F.trim("value") != "")
     rows = lines.select("file", (F.col("pos") + 1).cast("long").alias("line"), F.try_parse_json("value").isNull().alias("torn"), F.from_json("value", schema).alias("r"))
     return rows.select("file", "line", "torn", "r.*")
