@@ -7,8 +7,8 @@ is aligned with the item, words matching at 1, differing at MISMATCH, skipped
 at GAP; the score is the best local alignment's over the item's length, so 1 is
 an exact copy and edits lower it. Pairs at or above a threshold are leaks.
 
-Rarity is relative: grams at most RARE times as frequent as the item's first
-quartile, so a passage that was copied into many documents keeps its seeds.
+A gram is common only if it is frequent among the documents and far more so than
+its item's other grams, so a passage that many documents copied keeps its seeds.
 Items go to the tasks in blocks of at most BLOCK_CHARS characters; a larger
 benchmark takes more passes over the documents.
 
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from evigraph.llm._text import IS_LETTER, LOWER, Lookup, Spans, expand, mix64, read, text_blocks, window_hash
 
-K, RARE, SLACK = 3, 4.0, 8
+K, SLACK = 3, 8
+#: A gram is common if it occurs more often than in this share of documents, and so many times the item's median.
+COMMON_SHARE, LEAST_COMMON, TIMES_MEDIAN = 0.01, 16, 8.0
 MISMATCH, GAP = -0.4, -0.5
 THRESHOLD = 0.5
 BLOCK_CHARS = 8_000_000
@@ -107,16 +109,17 @@ def build_seeds(ids: list, texts: list[str | None]) -> Seeds:
     return Seeds(ids, words, grams, begin, np.diff(np.append(begin, len(h))), item_, at_, np.ones(len(h), bool))
 
 
-def choose_rare(seeds: Seeds, frequency: np.ndarray) -> None:
-    """Keep as seeds the grams that are not much more frequent than their item's first quartile."""
+def choose_rare(seeds: Seeds, frequency: np.ndarray, docs: int) -> None:
+    """Keep as seeds the grams that aren't common, by their frequency among so many documents."""
     f = np.repeat(frequency, seeds.count)
     order = np.lexsort((f, seeds.item))
+    order = order[f[order] > 0]
     first = np.searchsorted(seeds.item[order], np.arange(len(seeds.words) + 1))
     n = np.diff(first)
-    quartile = np.zeros(len(n))
+    median = np.zeros(len(n))
     full = np.flatnonzero(n)
-    quartile[full] = f[order][first[full] + (n[full] - 1) // 4]
-    seeds.rare = f <= RARE * np.maximum(quartile[seeds.item], 1)
+    median[full] = f[order][first[full] + (n[full] - 1) // 2]
+    seeds.rare = (f <= max(COMMON_SHARE * docs, LEAST_COMMON)) | (f <= TIMES_MEDIAN * median[seeds.item])
     rare = np.add.reduceat(seeds.rare.astype(np.int64), seeds.begin) > 0
     for k, lookup in seeds.grams.items():
         kept = rare[lookup.values]
@@ -209,19 +212,21 @@ def fit(docs: DataFrame, benchmark: DataFrame) -> list[Seeds]:
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(shared.value.begin), np.int64)
+            total, rows = np.zeros(len(shared.value.begin), np.int64), 0
             for batch in batches:
+                rows += batch.num_rows
                 for _, _, buf, offs in text_blocks(batch.column(0)):
                     w, h = _words(buf, offs)
                     total += np.bincount(shared.value.hits(h, w.first)[1], minlength=len(total))
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], ["gram", "n"])
 
         frequency = np.zeros(len(seeds.begin))
         if len(frequency):
             rows = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-            frequency[rows["gram"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-            choose_rare(seeds, frequency)
+            gram, n = rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(float)
+            frequency[gram[gram >= 0]] = n[gram >= 0]
+            choose_rare(seeds, frequency, int(n[gram < 0].sum()))
         out.append(seeds)
     return out
 
