@@ -68,8 +68,12 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 60, d
     return model
 
 
-def fit_isotonic(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the best nondecreasing map from margin to probability (pool adjacent violators)."""
+def fit_isotonic(margin: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float, strength: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the best nondecreasing map from margin to probability (pool adjacent violators).
+
+    Each pool is drawn to the prior as by so many more rows, so that a few rows
+    never make a sure score.
+    """
     order = np.argsort(margin, kind="stable")
     blocks: list[list[float]] = []  # weight, mean label, mean margin
     for m, t, v in zip(margin[order].tolist(), y[order].tolist(), w[order].tolist(), strict=True):
@@ -79,4 +83,6 @@ def fit_isotonic(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.n
             v0, t0, m0 = blocks.pop()
             v2 = v0 + v1
             blocks.append([v2, (v0 * t0 + v1 * t1) / v2, (v0 * m0 + v1 * m1) / v2])
-    return np.array([b[2] for b in blocks]), np.array([b[1] for b in blocks])
+    weight, mean = np.array([b[0] for b in blocks]), np.array([b[1] for b in blocks])
+    drawn = (weight * mean + strength * prior) / (weight + strength)
+    return np.array([b[2] for b in blocks]), np.clip(np.maximum.accumulate(drawn), 0, 1)

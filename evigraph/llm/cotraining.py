@@ -169,8 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> QualityModel:
     w *= len(w) / w.sum()
     trees = cotrain([v[taught] for v in views], y[taught].astype(float), w, [v[y < 0] for v in views])
     wa = np.array([weight[k] for k in y[aside]])
-    fitted = [View(t, fit_isotonic(t.margin(v[aside]), y[aside].astype(float), wa)) for t, v in zip(trees, views, strict=True)]
-    return QualityModel(fitted, float(np.clip(sizes[1] / sum(sizes.values()), 0.01, 0.99)))
+    prior = float(np.clip(sizes[1] / sum(sizes.values()), 0.01, 0.99))
+    fitted = [View(t, fit_isotonic(t.margin(v[aside]), y[aside].astype(float), wa * len(wa) / wa.sum(), prior)) for t, v in zip(trees, views, strict=True)]
+    return QualityModel(fitted, prior)
 
 
 def score(docs: DataFrame, model: QualityModel, keep: list[str]) -> DataFrame:

@@ -152,7 +152,7 @@ def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(map(len, found)) > 4_000_000:
             yield total()
             found, labels = [], []
-    if found:
+    if any(map(len, found)):
         yield total()
 
 
@@ -204,10 +204,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> ToxicityModel:
     w *= len(w) / w.sum()
     half = np.arange(len(y)) % 2 == 0
     margin = np.zeros(len(y))
+    prior = float(np.average(y, weights=w))
     for own in (half, ~half):  # each half's margins come from trees that haven't seen it
         other = ~own if len(set(y[~own])) == 2 else np.ones(len(y), bool)
         margin[own] = fit_boosted(x[other], y[other], w[other]).margin(x[own])
-    return ToxicityModel(lexicon, fit_boosted(x, y, w), fit_isotonic(margin, y, w), float(np.average(y, weights=w)))
+    return ToxicityModel(lexicon, fit_boosted(x, y, w), fit_isotonic(margin, y, w, prior), prior)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
