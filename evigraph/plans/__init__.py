@@ -1,6 +1,7 @@
 """Registered queries: operators applied to tables, each with its SQL twin where SQL can express it."""
 
 from evigraph.plans import (  # noqa: F401  they fill the registry
+    code_queries,
     evidence_queries,
     graph_queries,
     relational_queries,
