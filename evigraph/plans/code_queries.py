@@ -78,28 +78,28 @@ def fixture_injections(spark, d):
     return derived.fixture_injections(q, near.union(far).crossJoin(F.broadcast(segments)))
 
 
-@query("unstated_bases", f"WITH {GRAPH_SQL}, h AS (SELECT 'supplier:' || s_suppkey AS class FROM supplier WHERE s_suppkey % 3 = 0) SELECT DISTINCT c.src, c.dst FROM calls c JOIN h ON h.class = c.src WHERE c.line BETWEEN 2 AND 3")
+@query("unstated_bases", f"WITH {GRAPH_SQL}, h AS (SELECT 'supplier:' || s_suppkey AS class FROM supplier WHERE s_acctbal > 0) SELECT DISTINCT c.src, c.dst FROM calls c JOIN h ON h.class = c.src WHERE c.line BETWEEN 2 AND 3")
 def unstated_bases(spark, d):
     c = domain.calls(spark, d)
     uses = c.select(F.col("src").alias("path"), "line", "dst", F.lit("b").alias("name"))
-    heads = table(spark, d, "supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.lit(2).alias("first"), F.lit(3).alias("last"), F.array(F.lit("b")).alias("names")).withColumn("path", F.col("id"))
+    heads = table(spark, d, "supplier").filter("s_acctbal > 0").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.lit(2).alias("first"), F.lit(3).alias("last"), F.array(F.lit("b")).alias("names")).withColumn("path", F.col("id"))
     return derived.unstated_bases(heads, uses, domain.module_edges(spark, d))
 
 
-@query("mint_missing", "WITH s AS (SELECT DISTINCT o_custkey AS path, o_orderstatus AS name FROM orders WHERE o_orderkey % 3 = 0), x AS (SELECT o.o_custkey AS path, o.o_orderkey AS line, o.o_orderstatus AS name, CASE WHEN o.o_orderkey % 5 = 0 THEN 'local' ELSE 'function' END AS kind FROM orders o) SELECT path, line, name FROM x WHERE kind <> 'local' AND line % 3 <> 0")
+@query("mint_missing", "WITH s AS (SELECT DISTINCT o_custkey AS path, o_orderstatus AS name FROM orders WHERE o_orderpriority = '1-URGENT'), x AS (SELECT o.o_custkey AS path, o.o_orderkey AS line, o.o_orderstatus AS name, CASE WHEN o.o_orderstatus = 'P' THEN 'local' ELSE 'function' END AS kind, o.o_orderpriority AS p FROM orders o) SELECT path, line, name FROM x WHERE kind <> 'local' AND p <> '1-URGENT'")
 def mint_missing(spark, d):
     o = table(spark, d, "orders")
-    defs = o.select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("line"), F.col("o_orderstatus").alias("name"), F.when(F.col("o_orderkey") % 5 == 0, "local").otherwise("function").alias("kind"))
-    return derived.mint(defs, defs.filter("line % 3 = 0"))[0].select("path", "line", "name")
+    defs = o.select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("line"), F.col("o_orderstatus").alias("name"), F.when(F.col("o_orderstatus") == "P", "local").otherwise("function").alias("kind"), F.col("o_orderpriority").alias("p"))
+    return derived.mint(defs, defs.filter("p = '1-URGENT'"))[0].select("path", "line", "name")
 
 
-@query("blind_spot_map", f"""WITH {GRAPH_SQL}, f AS (SELECT 'supplier/' || s_suppkey AS path, 100 AS lines, s_suppkey % 4 <> 0 AS captured FROM supplier), s AS (SELECT 'part:' || p_partkey AS id, 'supplier/' || (p_partkey % (SELECT count(*) FROM supplier)) AS path, p_size AS line, p_size + 3 AS end_line FROM part WHERE p_partkey % 7 = 0),
+@query("blind_spot_map", f"""WITH {GRAPH_SQL}, f AS (SELECT 'supplier/' || s_suppkey AS path, 100 AS lines, s_acctbal > 0 AS captured FROM supplier), s AS (SELECT 'part:' || p_partkey AS id, 'supplier/' || (p_partkey % (SELECT count(*) FROM supplier)) AS path, p_size AS line, p_size + 3 AS end_line FROM part),
 u AS (SELECT DISTINCT s.path, unnest(range(s.line, s.end_line + 1)) AS n FROM s JOIN f ON f.path = s.path AND f.captured WHERE EXISTS (SELECT 1 FROM calls c WHERE c.dst = s.id AND c.tier <> 'semantic')), k AS (SELECT path, count(*) AS k FROM u GROUP BY path),
 o AS (SELECT f.path, f.lines, CASE WHEN captured THEN coalesce(k, 0) ELSE lines END::BIGINT AS uncaptured FROM f LEFT JOIN k ON k.path = f.path) SELECT *, (SELECT round(sum(uncaptured) / sum(lines), 4) FROM o) AS fraction FROM o""")
 def blind_spot_map(spark, d):
     s = table(spark, d, "supplier")
-    files = s.select(F.concat(F.lit("supplier/"), "s_suppkey").alias("path"), F.lit(100).alias("lines"), (F.col("s_suppkey") % 4 != 0).alias("captured"))
+    files = s.select(F.concat(F.lit("supplier/"), "s_suppkey").alias("path"), F.lit(100).alias("lines"), (F.col("s_acctbal") > 0).alias("captured"))
     many = F.broadcast(s.agg(F.count("*").alias("many")))
-    p = table(spark, d, "part").filter("p_partkey % 7 = 0").join(many, how="cross")
+    p = table(spark, d, "part").join(many, how="cross")
     symbols = p.select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.concat(F.lit("supplier/"), F.col("p_partkey") % F.col("many")).alias("path"), F.col("p_size").alias("line"), (F.col("p_size") + 3).alias("end_line"))
     return derived.blind_spots(files, symbols, domain.calls(spark, d))

@@ -56,12 +56,14 @@ def closure_reach(spark, d):
     return graph.closure(e, e.select(F.col("src").alias("seed")).distinct()).select("seed", "id")
 
 
-RING = "ring AS (SELECT 'p' || p_partkey AS src, 'p' || ((p_partkey * 7 + 3) % 60) AS dst FROM part WHERE p_partkey < 60)"
+RING = "trade AS (SELECT s_nationkey AS a, c_nationkey AS b, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL), ring AS (SELECT 'n' || a AS src, 'n' || arg_min(b, -1000 * n + b) AS dst FROM trade GROUP BY a)"
 
 
 def _ring(spark, d):
-    p = table(spark, d, "part").filter("p_partkey < 60")
-    return p.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("src"), F.concat(F.lit("p"), (F.col("p_partkey") * 7 + 3) % 60).alias("dst"))
+    """Each supplier nation points to the nation of its customers with the most order lines."""
+    j = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    trade = j.groupBy(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).agg(F.count("*").alias("n"))
+    return trade.groupBy("a").agg(F.min_by("b", -1000 * F.col("n") + F.col("b")).alias("b")).select(F.concat(F.lit("n"), "a").alias("src"), F.concat(F.lit("n"), "b").alias("dst"))
 
 
 @query("scc_components", f"WITH RECURSIVE {RING}, ids AS (SELECT src AS id FROM ring UNION SELECT dst FROM ring), r AS (SELECT src, dst FROM ring UNION SELECT r.src, e.dst FROM r JOIN ring e ON e.src = r.dst) SELECT i.id, least(i.id, coalesce((SELECT min(a.dst) FROM r a JOIN r b ON b.src = a.dst AND b.dst = a.src WHERE a.src = i.id), i.id)) AS component FROM ids i")
@@ -225,12 +227,12 @@ def waves(spark, d):
     return planning.waves(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]).select(F.col("l_orderkey").alias("cell"), F.col("l_linenumber").alias("item"), F.col("l_partkey").alias("part"), "wave")
 
 
-CUTS = f"""{WITH}, base AS (SELECT src, dst, type, min(tier) AS tier FROM calls WHERE "at" < TIMESTAMP '1997-01-01' GROUP BY ALL), head AS (SELECT src, dst, type, min(tier) AS tier FROM calls WHERE "at" >= TIMESTAMP '1996-01-01' GROUP BY ALL), delta AS (SELECT *, '+' AS sign FROM head h WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.src = h.src AND b.dst = h.dst AND b.type = h.type) UNION ALL SELECT *, '-' FROM base b WHERE NOT EXISTS (SELECT 1 FROM head h WHERE b.src = h.src AND b.dst = h.dst AND b.type = h.type))"""
+CUTS = f"""{WITH}, base AS (SELECT src, dst, type, min(tier) AS tier, min(line) AS line FROM calls WHERE "at" < TIMESTAMP '1997-01-01' GROUP BY ALL), head AS (SELECT src, dst, type, min(tier) AS tier, min(line) AS line FROM calls WHERE "at" >= TIMESTAMP '1996-01-01' GROUP BY ALL), delta AS (SELECT *, '+' AS sign FROM head h WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.src = h.src AND b.dst = h.dst AND b.type = h.type) UNION ALL SELECT *, '-' FROM base b WHERE NOT EXISTS (SELECT 1 FROM head h WHERE b.src = h.src AND b.dst = h.dst AND b.type = h.type))"""
 
 
 def _snapshots(spark, d):
     c = domain.calls(spark, d)
-    cut = lambda rule: c.filter(rule).groupBy("src", "dst", "type").agg(F.min("tier").alias("tier"))
+    cut = lambda rule: c.filter(rule).groupBy("src", "dst", "type").agg(F.min("tier").alias("tier"), F.min("line").alias("line"))
     return cut("at < timestamp '1997-01-01'"), cut("at >= timestamp '1996-01-01'")
 
 
@@ -244,13 +246,13 @@ def delta_summary(spark, d):
     return diff.summary(diff.diff_rows(*_snapshots(spark, d), ["src", "dst", "type"]))
 
 
-@query("coverage_delta", f"{CUTS}, bm AS (SELECT DISTINCT dst AS id FROM base), hm AS (SELECT 'part:' || p_partkey AS id, p_size < 5 AS no_code FROM part), bg AS (SELECT DISTINCT dst AS id FROM base WHERE tier = 'dynamic' AND src LIKE '%7'), hg AS (SELECT DISTINCT dst AS id FROM head WHERE tier = 'dynamic' AND src LIKE '%7'), ok AS (SELECT 'part:' || p_partkey AS id FROM part WHERE p_partkey % 4 = 0), bare AS (SELECT * FROM hm WHERE id NOT IN (SELECT id FROM hg)) SELECT id, CASE WHEN no_code THEN 'no-code' ELSE 'new-unguarded' END AS change FROM bare WHERE id NOT IN (SELECT id FROM bm) UNION ALL SELECT id, CASE WHEN id IN (SELECT id FROM ok) THEN 'accepted' ELSE 'lost-guard' END FROM bare WHERE id IN (SELECT id FROM bg)")
+@query("coverage_delta", f"{CUTS}, bm AS (SELECT DISTINCT dst AS id FROM base), hm AS (SELECT 'part:' || p_partkey AS id, p_size < 5 AS no_code FROM part), bg AS (SELECT DISTINCT dst AS id FROM base WHERE tier = 'dynamic' AND line = 1), hg AS (SELECT DISTINCT dst AS id FROM head WHERE tier = 'dynamic' AND line = 1), ok AS (SELECT 'part:' || p_partkey AS id FROM part WHERE p_size > 25), bare AS (SELECT * FROM hm WHERE id NOT IN (SELECT id FROM hg)) SELECT id, CASE WHEN no_code THEN 'no-code' ELSE 'new-unguarded' END AS change FROM bare WHERE id NOT IN (SELECT id FROM bm) UNION ALL SELECT id, CASE WHEN id IN (SELECT id FROM ok) THEN 'accepted' ELSE 'lost-guard' END FROM bare WHERE id IN (SELECT id FROM bg)")
 def coverage_delta(spark, d):
     base, head = _snapshots(spark, d)
     p = table(spark, d, "part")
     pid = F.concat(F.lit("part:"), F.col("p_partkey")).alias("id")
-    guards = lambda s: s.filter("tier = 'dynamic' and src like '%7'").select(F.col("dst").alias("id"))
-    return diff.coverage_delta(base.select(F.col("dst").alias("id")).distinct(), p.select(pid, (F.col("p_size") < 5).alias("no_code")), guards(base), guards(head), p.filter("p_partkey % 4 = 0").select(pid))
+    guards = lambda s: s.filter("tier = 'dynamic' and line = 1").select(F.col("dst").alias("id"))
+    return diff.coverage_delta(base.select(F.col("dst").alias("id")).distinct(), p.select(pid, (F.col("p_size") < 5).alias("no_code")), guards(base), guards(head), p.filter("p_size > 25").select(pid))
 
 
 @query("movement", f"{CUTS}, b AS (SELECT dst AS id, bool_or(tier = 'dynamic') AS was FROM base GROUP BY dst), h AS (SELECT dst AS id, bool_or(tier = 'dynamic') AS now FROM head GROUP BY dst), j AS (SELECT coalesce(b.id, h.id) AS id, coalesce(was, false) AS was, coalesce(now, false) AS now FROM b FULL JOIN h ON b.id = h.id) SELECT id, CASE WHEN now AND NOT was THEN 'regressed' WHEN was AND NOT now THEN 'fixed' WHEN was THEN 'still-failing' ELSE 'unchanged' END AS movement FROM j")

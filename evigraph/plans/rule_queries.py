@@ -93,37 +93,36 @@ def scope_prefix(spark, d):
     return n.join(F.broadcast(s), rules.scope_matches(F.col("scope"), F.col("path"))).groupBy("scope").agg(F.count("*").alias("n"))
 
 
-KEY = f"""WITH li AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) - 1 AS seq FROM lineitem WHERE l_orderkey <= 800),
-edges AS (SELECT seq, 's' || (l_suppkey % 40) AS path, l_linenumber AS line, 'p' || (l_partkey % 25) AS t_path, (l_quantity % 4)::INT AS t_line, CASE WHEN l_partkey % 31 = 0 THEN 'variable' ELSE 'function' END AS t_kind,
-  CASE l_returnflag WHEN 'A' THEN 'semantic' ELSE 'syntactic' END AS tier FROM li),
-sites AS (SELECT seq AS site, 's' || (l_suppkey % 40) AS path, l_linenumber AS line, CASE WHEN seq % 7 = 0 THEN 'dynamic' WHEN seq % 11 = 0 THEN 'macro' ELSE 'static' END AS mode,
-  CASE WHEN seq % 14 = 0 THEN 'p' || (l_partkey % 25) END AS i_path, CASE WHEN seq % 14 = 0 THEN 1 END AS i_line, seq, l_partkey FROM li WHERE seq % 9 = 0 AND l_suppkey % 5 <> 0),
-tgt AS (SELECT site, path, line, mode, i_path, 'p' || (l_partkey % 25) AS t_path, (seq % 4)::INT AS t_line, 'f' || (l_partkey % 6) AS t_name, seq % 17 = 0 AS external, seq % 5 = 0 AS closure FROM sites WHERE seq % 6 <> 0),
-files AS (SELECT DISTINCT path FROM sites UNION SELECT 's5'),
+KEY = """WITH edges AS (SELECT l_orderkey * 8 + l_linenumber AS seq, 'o' || l_orderkey AS path, l_linenumber AS line, 'p' || (CASE WHEN l_quantity > 40 THEN l_partkey + 1 ELSE l_partkey END) AS t_path, CASE WHEN l_discount > 0.08 THEN 1 ELSE 0 END AS t_line,
+  CASE WHEN l_tax > 0.07 THEN 'variable' ELSE 'function' END AS t_kind, CASE l_returnflag WHEN 'A' THEN 'semantic' ELSE 'syntactic' END AS tier FROM lineitem),
+sites AS (SELECT l_orderkey * 8 + l_linenumber AS site, 'o' || l_orderkey AS path, l_linenumber AS line, CASE WHEN l_returnflag = 'R' THEN 'dynamic' WHEN l_linestatus = 'O' THEN 'macro' ELSE 'static' END AS mode,
+  CASE WHEN l_returnflag = 'R' AND l_quantity > 20 THEN 'p' || (l_partkey + 1) END AS i_path, CASE WHEN l_returnflag = 'R' AND l_quantity > 20 THEN 0 END AS i_line, l_partkey, l_suppkey, l_extendedprice, l_discount, l_quantity FROM lineitem WHERE l_tax > 0.01),
+tgt AS (SELECT site, path, line, mode, i_path, 'p' || l_partkey AS t_path, 0 AS t_line, 'f' || l_suppkey AS t_name, l_extendedprice < 5000 AS external, l_discount < 0.03 AS closure FROM sites WHERE l_quantity > 5),
+files AS (SELECT 'o' || o_orderkey AS path FROM orders WHERE o_orderstatus <> 'P'),
 graded AS (SELECT e.*, CASE WHEN e.path NOT IN (SELECT path FROM files) THEN 'silent:not-loaded' WHEN NOT EXISTS (SELECT 1 FROM sites s WHERE s.path = e.path AND s.line = e.line) THEN 'silent:unreachable'
   WHEN EXISTS (SELECT 1 FROM tgt t WHERE t.path = e.path AND t.line = e.line AND t.t_path = e.t_path AND t.t_line = e.t_line) THEN 'confirmed:'
   WHEN EXISTS (SELECT 1 FROM sites s WHERE s.path = e.path AND s.line = e.line AND s.i_path = e.t_path AND s.i_line = e.t_line) THEN 'abstract:'
   WHEN t_kind = 'variable' AND EXISTS (SELECT 1 FROM tgt t WHERE t.path = e.path AND t.line = e.line) THEN 'abstract:func-value'
   WHEN NOT EXISTS (SELECT 1 FROM tgt t WHERE t.path = e.path AND t.line = e.line) THEN 'silent:no-targets'
-  WHEN EXISTS (SELECT 1 FROM sites s WHERE s.path = e.path AND s.line = e.line AND s.seq % 6 = 0) THEN 'silent:line-unresolved' ELSE 'contradicted:' END AS br FROM edges e),
+  WHEN EXISTS (SELECT 1 FROM sites s WHERE s.path = e.path AND s.line = e.line AND s.l_quantity <= 5) THEN 'silent:line-unresolved' ELSE 'contradicted:' END AS br FROM edges e),
 g AS (SELECT * EXCLUDE br, split_part(br, ':', 1) AS bucket, split_part(br, ':', 2) AS reason FROM graded)
 """
 
 
 def _key(spark, d):
-    from pyspark.sql import Window
-
-    li = table(spark, d, "lineitem").filter("l_orderkey <= 800")  # the query's own site files, in both engines
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
-    li = li.withColumn("seq", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    path, part = F.concat(F.lit("s"), F.col("l_suppkey") % 40), F.concat(F.lit("p"), F.col("l_partkey") % 25)
-    edges = li.select("seq", path.alias("path"), F.col("l_linenumber").alias("line"), part.alias("t_path"), (F.col("l_quantity") % 4).cast("int").alias("t_line"), F.when(F.col("l_partkey") % 31 == 0, "variable").otherwise("function").alias("t_kind"), F.when(F.col("l_returnflag") == "A", "semantic").otherwise("syntactic").alias("tier"))
-    target = F.struct(part.alias("path"), (F.col("seq") % 4).cast("int").alias("line"), F.concat(F.lit("f"), F.col("l_partkey") % 6).alias("name"), (F.col("seq") % 17 == 0).alias("external"), (F.col("seq") % 5 == 0).alias("closure"), F.lit("").alias("kind"))
-    sites = li.filter("seq % 9 = 0 and l_suppkey % 5 <> 0").select(
-        F.col("seq").alias("site"), path.alias("path"), F.col("l_linenumber").alias("line"), F.when(F.col("seq") % 7 == 0, "dynamic").when(F.col("seq") % 11 == 0, "macro").otherwise("static").alias("mode"),
-        F.when(F.col("seq") % 14 == 0, part).alias("i_path"), F.when(F.col("seq") % 14 == 0, 1).alias("i_line"), F.when(F.col("seq") % 6 != 0, F.array(target)).otherwise(F.array().cast("array<struct<path:string,line:int,name:string,external:boolean,closure:boolean,kind:string>>")).alias("targets"),
+    """Claims and an answer key at order lines: a line has few rows, so a site's targets stay few."""
+    li = table(spark, d, "lineitem").withColumn("seq", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    place = F.col("seq"), F.concat(F.lit("o"), "l_orderkey").alias("path"), F.col("l_linenumber").alias("line")
+    part = lambda k: F.concat(F.lit("p"), k)
+    moved = F.when(F.col("l_quantity") > 40, F.col("l_partkey") + 1).otherwise(F.col("l_partkey"))
+    edges = li.select(*place, part(moved).alias("t_path"), F.when(F.col("l_discount") > 0.08, 1).otherwise(0).alias("t_line"), F.when(F.col("l_tax") > 0.07, "variable").otherwise("function").alias("t_kind"), F.when(F.col("l_returnflag") == "A", "semantic").otherwise("syntactic").alias("tier"))
+    target = F.struct(part(F.col("l_partkey")).alias("path"), F.lit(0).alias("line"), F.concat(F.lit("f"), "l_suppkey").alias("name"), (F.col("l_extendedprice") < 5000).alias("external"), (F.col("l_discount") < 0.03).alias("closure"), F.lit("").alias("kind"))
+    face = (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 20)
+    sites = li.filter("l_tax > 0.01").select(
+        F.col("seq").alias("site"), *place[1:], F.when(F.col("l_returnflag") == "R", "dynamic").when(F.col("l_linestatus") == "O", "macro").otherwise("static").alias("mode"), F.when(face, part(F.col("l_partkey") + 1)).alias("i_path"), F.when(face, 0).alias("i_line"),
+        F.when(F.col("l_quantity") > 5, F.array(target)).otherwise(F.array().cast("array<struct<path:string,line:int,name:string,external:boolean,closure:boolean,kind:string>>")).alias("targets"),
     )
-    return edges, sites, sites.select("path").union(spark.createDataFrame([("s5",)], "path string")).distinct()
+    return edges, sites, table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("path"))
 
 
 @query("grade_buckets", f"{KEY} SELECT seq, path, line, t_path, t_line, bucket, reason FROM g")
@@ -158,6 +157,7 @@ def collapsed_recall(spark, d):
 @query("poison_check")
 def poison_check(spark, d):
     edges, sites, files = _key(spark, d)
+    edges = edges.groupBy("seq").agg(F.min(F.struct(*edges.columns)).alias("e")).select("e.*")  # an edge's number must be its own
     return grading.check_poison(grading.grade(grading.poison(edges, sites), sites, files))
 
 

@@ -65,10 +65,10 @@ def relational_find(spark, d):
     return table(spark, d, "customer").join(o, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce(F.array_join(F.col("keys").cast("array<string>"), ","), F.lit("")).alias("orders"))
 
 
-@query("projection_fork", "SELECT conv_id + 1000000 AS conv_id, turn, role FROM conversations WHERE conv_id % 5 = 0 AND turn < 3 UNION ALL SELECT conv_id, turn, role FROM conversations")
+@query("projection_fork", "SELECT conv_id + 1000000 AS conv_id, turn, role FROM conversations WHERE turn < 3 UNION ALL SELECT conv_id, turn, role FROM conversations")
 def projection_fork(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "role")
-    return c.filter("conv_id % 5 = 0 and turn < 3").withColumn("conv_id", F.col("conv_id") + 1_000_000).unionByName(c)
+    return c.filter("turn < 3").withColumn("conv_id", F.col("conv_id") + 1_000_000).unionByName(c)
 
 
 @query("hash_split", "SELECT doc_id, (('0x' || substr(sha256('7' || chr(10) || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0)::DOUBLE < 0.2 AS held FROM documents")
@@ -89,13 +89,13 @@ def body_hash_duplicates(spark, d):
     return table(spark, d, "documents").groupBy(h.alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
 
 
-@query("jaccard_nearest", "WITH w AS (SELECT p_partkey AS item_id, list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z]+'), lambda x: len(x) >= 3)) AS t FROM part), p AS (SELECT a.item_id, b.item_id AS other, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS s FROM w a JOIN w b ON a.item_id <> b.item_id AND a.item_id < 50) SELECT item_id, arg_min(other, (-s, other)) AS nearest, floor(max(s) * 100) / 100 AS score FROM p GROUP BY item_id HAVING max(s) >= 0.2")
+@query("jaccard_nearest", "WITH w AS (SELECT DISTINCT p_name AS item_id, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z]+'), lambda x: len(x) >= 3)) AS t FROM part), p AS (SELECT a.item_id, b.item_id AS other, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS s FROM w a JOIN w b ON a.item_id <> b.item_id) SELECT item_id, arg_min(other, (-s, other)) AS nearest, floor(max(s) * 100) / 100 AS score FROM p GROUP BY item_id HAVING max(s) >= 0.2")
 def jaccard_nearest(spark, d):
     """Best Jaccard of word sets, first wins ties, at least 0.2: candidates share a word, counted by an equi-join."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), "[^a-z]+"), lambda x: F.length(x) >= 3))
-    w = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), words.alias("t")).withColumn("n", F.size("t"))
+    words = F.array_distinct(F.filter(F.split(F.lower("p_name"), "[^a-z]+"), lambda x: F.length(x) >= 3))
+    w = table(spark, d, "part").select(F.col("p_name").alias("item_id"), words.alias("t")).distinct().withColumn("n", F.size("t"))
     e = w.select("item_id", "n", F.explode("t").alias("w"))
-    both = e.filter("item_id < 50").join(e.select(F.col("item_id").alias("other"), F.col("n").alias("m"), "w"), "w").filter("item_id <> other").groupBy("item_id", "other", "n", "m").agg(F.count("*").alias("k"))
+    both = e.join(e.select(F.col("item_id").alias("other"), F.col("n").alias("m"), "w"), "w").filter("item_id <> other").groupBy("item_id", "other", "n", "m").agg(F.count("*").alias("k"))
     best = both.withColumn("s", F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).groupBy("item_id").agg(F.min_by("other", F.struct((-F.col("s")).alias("a"), "other")).alias("nearest"), F.max("s").alias("score"))
     return best.filter("score >= 0.2").withColumn("score", F.floor(F.col("score") * 100) / 100)
 
@@ -135,7 +135,7 @@ def line_diff_classes(spark, d):
 def moniker_parse(spark, d):
     from evigraph.functions.tables import Descriptors
 
-    p = table(spark, d, "part").filter("p_partkey < 200").select("p_partkey", F.concat(F.lit("py pip pkg 1.0 "), F.translate("p_name", " ", "/"), F.lit("/C#m().")).alias("moniker"))
+    p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("py pip pkg 1.0 "), F.translate("p_name", " ", "/"), F.lit("/C#m().")).alias("moniker"))
     return p.lateralJoin(Descriptors(F.col("moniker").outer())).select("p_partkey", "pos", "kind", "name")
 
 
@@ -178,5 +178,5 @@ shared_sql("suspended_sessions", ["orders"], "SELECT o_orderkey FROM orders WHER
 shared_sql("models_by_tokens", ["lineitem"], "SELECT l_returnflag, CAST(sum(l_orderkey) AS BIGINT) AS tokens, count(*) AS calls FROM lineitem GROUP BY l_returnflag ORDER BY tokens DESC")
 shared_sql("filled_roles", ["events"], "SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS role FROM events", "SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS role FROM events")
 shared_sql("invented_names", ["documents"], "SELECT lang AS bucket, source AS name, count(*) AS n FROM documents WHERE n_chars < 500 GROUP BY lang, source")
-shared_sql("changed_keys", ["orders"], "WITH a AS (SELECT o_custkey AS k, count(*) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey), b AS (SELECT o_custkey AS k, count(*) AS v FROM orders WHERE o_orderkey % 2 = 1 GROUP BY o_custkey) SELECT coalesce(a.k, b.k) AS k FROM a FULL OUTER JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
+shared_sql("changed_keys", ["orders"], "WITH a AS (SELECT o_custkey AS k, count(*) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey), b AS (SELECT o_custkey AS k, count(*) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) SELECT coalesce(a.k, b.k) AS k FROM a FULL OUTER JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
 shared_sql("session_usage_totals", ["lineitem"], "SELECT l_suppkey, CAST(sum(coalesce(l_orderkey, 0)) AS BIGINT) AS tokens, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_suppkey")

@@ -39,11 +39,10 @@ def pass_at_k(spark, d):
     return c.select("source", "lang", F.round(stats.pass_at_k(F.col("n"), F.col("c"), 3), 6).alias("pass3"))
 
 
-@query("mcnemar", f"WITH RECURSIVE {REC}, c AS (SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic = 0 AND doc_id % 40 = 0) AS lost, count(*) FILTER (WHERE quality = 0 AND toxic = 0 AND doc_id % 6 = 0) AS gained FROM rec GROUP BY lang), t AS (SELECT lang, lost, gained, 0 AS i, 0.5 ** (lost + gained) AS term FROM c UNION ALL SELECT lang, lost, gained, i + 1, term * (lost + gained - i) / (i + 1) FROM t WHERE i < least(lost, gained)) SELECT lang, lost, gained, round(CASE WHEN lost + gained = 0 THEN 1.0 ELSE least(1.0, 2 * sum(term)) END::DOUBLE, 6) AS p FROM t GROUP BY lang, lost, gained")
+@query("mcnemar", f"WITH RECURSIVE {REC}, c AS (SELECT lang, source, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS lost, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS gained FROM rec GROUP BY lang, source), t AS (SELECT lang, source, lost, gained, 0 AS i, 0.5 ** (lost + gained) AS term FROM c UNION ALL SELECT lang, source, lost, gained, i + 1, term * (lost + gained - i) / (i + 1) FROM t WHERE i < least(lost, gained)) SELECT lang, source, lost, gained, round(CASE WHEN lost + gained = 0 THEN 1.0 ELSE least(1.0, 2 * sum(term)) END::DOUBLE, 6) AS p FROM t GROUP BY lang, source, lost, gained")
 def mcnemar(spark, d):
-    lost = (F.col("quality") == 1) & (F.col("toxic") == 0) & (F.col("doc_id") % 40 == 0)
-    gained = (F.col("quality") == 0) & (F.col("toxic") == 0) & (F.col("doc_id") % 6 == 0)
-    c = _rec(spark, d).groupBy("lang").agg(F.count_if(lost).alias("lost"), F.count_if(gained).alias("gained"))
+    lost, gained = (F.col("quality") == 1) & (F.col("toxic") == 1), (F.col("quality") == 0) & (F.col("toxic") == 0)
+    c = _rec(spark, d).groupBy("lang", "source").agg(F.count_if(lost).alias("lost"), F.count_if(gained).alias("gained"))
     return c.withColumn("p", F.round(stats.mcnemar(F.col("lost"), F.col("gained")), 6))
 
 
@@ -128,7 +127,7 @@ shared_sql("cumulative_rounds", ["events"], "WITH f AS (SELECT user_id, min(extr
 shared_sql("experiment_report", ["orders"], "WITH r AS (SELECT o_orderpriority AS arm, CASE WHEN o_custkey % 3 = 0 THEN 'x' ELSE 'y' END AS model, o_orderstatus AS status, o_totalprice AS v FROM orders) SELECT arm, model, count(*) AS n, CAST(sum(CASE WHEN status = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f, CAST(sum(CASE WHEN status = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS o, round(avg(v), 4) AS mean, round(min(v), 4) AS low, round(max(v), 4) AS high FROM r GROUP BY arm, model")
 shared_sql("separable_groups", ["orders"], "WITH a AS (SELECT o_orderpriority AS arm, avg(o_totalprice) AS m, max(o_totalprice) - min(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY o_orderpriority) SELECT x.arm AS a, y.arm AS b, abs(x.m - y.m) > greatest(x.s, y.s) AND x.n > 1 AND y.n > 1 AS separable FROM a x JOIN a y ON x.arm < y.arm")
 shared_sql("bucket_slope", ["orders"], "WITH b AS (SELECT o_orderpriority AS arm, o_orderstatus AS bucket, avg(o_totalprice) AS m FROM orders GROUP BY o_orderpriority, o_orderstatus) SELECT arm, round(max_by(m, bucket) - min_by(m, bucket), 4) AS slope FROM b GROUP BY arm")
-shared_sql("flips", ["labels"], "SELECT doc_id, CASE WHEN quality = 1 THEN 'lost' ELSE 'gained' END AS flip FROM labels WHERE quality <> toxic AND doc_id % 7 = 0")
+shared_sql("flips", ["labels"], "SELECT doc_id, CASE WHEN quality = 1 THEN 'lost' ELSE 'gained' END AS flip FROM labels WHERE quality <> toxic")
 shared_sql("density_by_module", ["documents", "labels"], "SELECT d.source AS module, CAST(sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS none_, count(*) AS total FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")
 shared_sql("tolerant_compare", ["lineitem"], "SELECT l_orderkey, l_linenumber, l_quantity, l_tax, abs(l_quantity - l_tax * 500) <= 0.5 + 0.1 * abs(l_quantity) AS close FROM lineitem")
 shared_sql("balanced_sample", ["labels"], "WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY (doc_id * 7919) % 10007, doc_id) AS k FROM labels) SELECT doc_id, quality FROM r WHERE k <= 20")
