@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Test items and documents are sequences of words (runs of letters and digits,
-A-Z in lower case). Word trigrams of an item that are rare among all documents
+capitals of Latin-1 in lower case, combining marks composed). Word trigrams of an item that are rare among all documents
 are its seeds. A document region where seeds of an item fall on near diagonals
 is aligned with the item, words matching at 1, differing at MISMATCH, skipped
 at GAP; the score is the best local alignment's over the item's length, so 1 is
@@ -21,15 +21,17 @@ besides those named are not read, but decontaminate() returns all of its rows'.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._text import IS_LETTER, LOWER, Lookup, Spans, expand, mix64, read, text_blocks, window_hash
+from evigraph.llm._text import IS_LETTER, LOWER, Lookup, Spans, expand, look, mix64, read, text_blocks, window_hash
 
 K, SLACK = 3, 8
 #: A gram is common if it occurs more often than in this share of documents, and so many times the item's median.
@@ -42,8 +44,26 @@ _INSIDE = IS_LETTER.copy()
 _INSIDE[48:58] = True
 
 
+def _composed(column: pa.Array) -> pa.Array:
+    """The texts, those with combining marks in composed form (NFC)."""
+    found = []
+    for i, _, buf, offs in text_blocks(column):
+        marks = np.flatnonzero((buf == 0xCC) | (buf == 0xCD))  # lead bytes of combining diacritical marks
+        found.append(np.unique(np.searchsorted(offs, marks, "right") - 1) + i)
+    rows = np.concatenate(found) if found else np.zeros(0, np.int64)
+    if not len(rows):
+        return column
+    mask = np.zeros(len(column), bool)
+    mask[rows] = True
+    own = [unicodedata.normalize("NFC", t) for t in column.take(pa.array(rows)).to_pylist()]
+    return pc.replace_with_mask(column, pa.array(mask), pa.array(own, column.type))
+
+
 def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[Spans, np.ndarray]:
-    w = Spans(LOWER[buf], _INSIDE[buf], offs)
+    low = look(LOWER, buf).copy()
+    if len(low) > 1:  # capitals of Latin-1: the second of two bytes
+        low[1:] += np.where((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97), np.uint8(32), np.uint8(0))
+    w = Spans(low, look(_INSIDE, buf), offs)
     return w, w.hashes()
 
 
@@ -86,7 +106,7 @@ class Seeds:
 def build_seeds(ids: list, texts: list[str | None]) -> Seeds:
     column = pa.array(texts, pa.large_string())
     words: list[np.ndarray] = []
-    for _, _, buf, offs in text_blocks(column):
+    for _, _, buf, offs in text_blocks(_composed(column)):
         w, h = _words(buf, offs)
         words += [h[w.first[d] : w.first[d + 1]] for d in range(len(offs) - 1)]
     hashes, lengths, item, at = [], [], [], []
@@ -195,7 +215,7 @@ def find_leaks(seeds: Seeds, h: np.ndarray, first: np.ndarray, threshold: float)
 
 def _scan(column: pa.Array, seeds: Seeds, threshold: float) -> list[tuple[int, int, float, int, int, int]]:
     found = []
-    for i, _, buf, offs in text_blocks(column):
+    for i, _, buf, offs in text_blocks(_composed(column)):
         w, h = _words(buf, offs)
         found += [(d + i, *rest) for d, *rest in find_leaks(seeds, h, w.first, threshold)]
     return found
@@ -215,7 +235,7 @@ def fit(docs: DataFrame, benchmark: DataFrame) -> list[Seeds]:
             total, rows = np.zeros(len(shared.value.begin), np.int64), 0
             for batch in batches:
                 rows += batch.num_rows
-                for _, _, buf, offs in text_blocks(batch.column(0)):
+                for _, _, buf, offs in text_blocks(_composed(batch.column(0))):
                     w, h = _words(buf, offs)
                     total += np.bincount(shared.value.hits(h, w.first)[1], minlength=len(total))
             at = np.flatnonzero(total)

@@ -17,6 +17,7 @@ Columns besides ``doc_id``, ``text`` and ``lang`` are not read.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,9 +46,9 @@ def letters() -> np.ndarray:
 
 def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Trigram buckets of all letters, the first trigram of each word, and the first word of each text."""
-    lowered = [t.lower() for t in texts]
+    lowered = [(t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)).lower() for t in texts]
     points = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = letters()[points]
+    inside = letters().take(points)
     c = np.zeros(len(points) + 2, np.uint32)
     c[1:-1] = np.where(inside, points, 0)
     at = np.flatnonzero(inside) + 1
