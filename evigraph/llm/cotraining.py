@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._text import IS_LETTER, IS_SPACE, LOWER, Spans, in_fold, read, segment_sum, text_blocks, unit, words
+from evigraph.llm._text import IS_LETTER, IS_SPACE, LOWER, Spans, in_fold, look, read, segment_sum, text_blocks, unit, words
 from evigraph.llm._trees import Boosted, fit_boosted, fit_isotonic
 
 #: Most labelled rows of a class and most unlabelled rows, in expectation, that are learned from.
@@ -46,14 +46,14 @@ def _distinct(owner: np.ndarray, h: np.ndarray, first: np.ndarray) -> np.ndarray
 
 
 def content_features(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    w = words(LOWER[buf], offs)
-    lines = Spans(LOWER[buf], buf != 10, offs)
+    w = words(look(LOWER, buf), offs)
+    lines = Spans(look(LOWER, buf), buf != 10, offs)
     h, lh = w.hashes(), lines.hashes()
     same = np.zeros(len(h))
     same[1:] = h[1:] == h[:-1]
-    marked = _MARK[buf] | (buf == 33)
+    marked = look(_MARK, buf) | (buf == 33)
     upper = (buf >= 65) & (buf <= 90)
-    b = segment_sum(np.stack([~IS_SPACE[buf], IS_LETTER[buf], marked, upper, (buf >= 48) & (buf <= 57), buf == 124], 1).astype(np.int64), np.asarray(offs))
+    b = segment_sum(np.stack([~look(IS_SPACE, buf), look(IS_LETTER, buf), marked, upper, (buf >= 48) & (buf <= 57), buf == 124], 1).astype(np.int64), np.asarray(offs))
     sums = np.concatenate(([0], np.cumsum(marked)))
     tail = segment_sum(((sums[w.ends] - sums[w.starts] > 0)).astype(float), w.first)
     n, size, rows = np.maximum(w.counts, 1), np.maximum(b[:, 0], 1), np.maximum(lines.counts, 1)

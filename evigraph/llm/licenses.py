@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._text import IS_LETTER, LOWER, Lookup, Spans, cut, read, segment_sum, text_blocks
+from evigraph.llm._text import IS_LETTER, LOWER, Lookup, Spans, cut, look, read, segment_sum, text_blocks
 
 THRESHOLD, MOSTLY, WHOLE_WORDS = 0.6, 0.5, 400
 # Short forms of the notices by which files state well-known licences.
@@ -56,7 +56,7 @@ _INSIDE[48:58] = True
 
 
 def _words(buf: np.ndarray, offs: np.ndarray) -> Spans:
-    return Spans(LOWER[buf], _INSIDE[buf], offs)
+    return Spans(look(LOWER, buf), look(_INSIDE, buf), offs)
 
 
 @dataclass

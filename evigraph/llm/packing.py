@@ -26,14 +26,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from evigraph.llm._text import IS_LETTER, LOWER, Spans, expand, read, segment_sum, text_blocks, words
+from evigraph.llm._text import IS_LETTER, LOWER, Spans, expand, look, read, segment_sum, text_blocks, words
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 STEP_TOKENS = 8 * 2048
 GROUP_TOKENS = 1 << 20
-_TABLE_BITS, _TABLE_WORDS = 21, 1 << 20
+_TABLE_BITS, _TABLE_WORDS = 20, 1 << 19
 
 
 _MARKS = np.zeros(256, bool)
@@ -110,7 +111,7 @@ class WordIds:
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's documents, each ended by END_ID, and document offsets in them."""
         if self.ignores_case and b"<|" not in buf.tobytes():  # special tokens keep their case
-            buf = LOWER[buf]
+            buf = look(LOWER, buf)
         w = words(buf, offs)
         if self.cuts:
             w = _without_marks(w, offs)
@@ -127,7 +128,7 @@ class WordIds:
             raw = buf.tobytes()
             for k in range(0, len(new), _TABLE_WORDS):
                 texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(w.starts[at[k : k + _TABLE_WORDS]].tolist(), w.ends[at[k : k + _TABLE_WORDS]].tolist(), strict=True)]
-                self._insert(new[k : k + _TABLE_WORDS], [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)])
+                self._insert(new[k : k + _TABLE_WORDS], [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
             number[missed] = self._probe(h[missed])
         lengths = self.lengths[number]
         flat = self.pool[expand(self.begins[number], lengths)]
@@ -142,9 +143,9 @@ def _without_marks(w: Spans, offs: np.ndarray) -> Spans:
     """The same runs, with one closing mark after a Latin letter as a run of its own."""
     buf, last, length = w.buf, w.ends - 1, w.ends - w.starts
     before, lead = buf[np.maximum(last - 1, 0)], buf[np.maximum(last - 2, 0)]
-    ascii_letter = IS_LETTER[before] & (before < 128)
+    ascii_letter = look(IS_LETTER, before) & (before < 128)
     latin_letter = (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (length > 2)
-    own = _MARKS[buf[last]] & (length > 1) & (ascii_letter | latin_letter)
+    own = look(_MARKS, buf[last]) & (length > 1) & (ascii_letter | latin_letter)
     at = np.flatnonzero(own) + 1
     w.starts, ends = np.insert(w.starts, at, last[own]), w.ends - own
     w.ends = np.insert(ends, at, w.ends[own])
@@ -232,7 +233,7 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFr
     for name, kind in (("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), ("tier", "long"), ("step_group", "long")):
         schema = schema.add(name, kind)
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

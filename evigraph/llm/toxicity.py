@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._text import IS_LETTER, IS_SPACE, LOWER, Lookup, Spans, in_fold, read, segment_sum, text_blocks, unit, with_text
+from evigraph.llm._text import IS_LETTER, IS_SPACE, LOWER, Lookup, Spans, in_fold, look, read, segment_sum, text_blocks, unit, with_text
 from evigraph.llm._trees import Boosted, fit_boosted, fit_isotonic
 
 #: Most labelled rows of a class, in expectation, for the lexicon and for trees with calibration.
@@ -48,11 +48,11 @@ FEATURES = ["hits", "density", "strength", "top", "whole", "begin", "near", "nea
 
 def _units(buf: np.ndarray, offs: np.ndarray) -> tuple[Spans, np.ndarray]:
     """Runs of letters with substitutions undone, and where those were."""
-    letter = IS_LETTER[buf]
+    letter = look(IS_LETTER, buf)
     inner = np.zeros(len(buf), bool)
     if len(buf) > 2:
-        inner[1:-1] = (_LEET[buf[1:-1]] > 0) & letter[:-2] & letter[2:]
-    return Spans(np.where(inner, _LEET[buf], LOWER[buf]), letter | inner, offs), inner
+        inner[1:-1] = (look(_LEET, buf[1:-1]) > 0) & letter[:-2] & letter[2:]
+    return Spans(np.where(inner, look(_LEET, buf), look(LOWER, buf)), letter | inner, offs), inner
 
 
 def _keys(u: Spans) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -103,7 +103,7 @@ def features(buf: np.ndarray, offs: np.ndarray, lexicon: Lookup) -> np.ndarray:
     if n > 1:
         same[1:] = h[1:] == h[:-1]
     more = segment_sum(np.stack([shouted, same], 1).astype(float), u.first)
-    per_byte = np.stack([upper, IS_LETTER[buf], _PUNCT[buf], (buf == 33) | (buf == 63), inner, (buf >= 48) & (buf <= 57), ~IS_SPACE[buf]], 1)
+    per_byte = np.stack([upper, look(IS_LETTER, buf), look(_PUNCT, buf), (buf == 33) | (buf == 63), inner, (buf >= 48) & (buf <= 57), ~look(IS_SPACE, buf)], 1)
     b = segment_sum(per_byte.astype(np.int64), np.asarray(offs))
     words, size = np.maximum(u.counts, 1), np.maximum(b[:, 6], 1)
     return np.stack(
