@@ -9,6 +9,9 @@ bounds the memory of a worker whatever the Arrow batch holds.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,6 +214,26 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release_memory() -> None:
+    """Give what numpy and Arrow have freed back to the system: a worker's next task may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run):
+    """A task's function that releases memory at its end."""
+
+    @functools.wraps(run)
+    def to_the_end(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return to_the_end
+
+
 def scratch(spark, name: str) -> str:
     """A new folder under the cluster's shared checkpoint folder.
 

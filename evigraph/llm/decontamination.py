@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._text import IS_LETTER, LOWER, Lookup, Spans, expand, look, mix64, read, text_blocks, window_hash
+from evigraph.llm._text import IS_LETTER, LOWER, Lookup, Spans, expand, look, mix64, read, text_blocks, trimmed, window_hash
 
 K, SLACK = 3, 8
 #: A gram is common if it occurs more often than in this share of documents, and so many times the item's median.
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, benchmark: DataFrame) -> list[Seeds]:
 
         frequency = np.zeros(len(seeds.begin))
         if len(frequency):
-            rows = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+            rows = docs.select("text").mapInArrow(trimmed(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
             gram, n = rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(float)
             frequency[gram[gram >= 0]] = n[gram >= 0]
             choose_rare(seeds, frequency, int(n[gram < 0].sum()))
@@ -269,7 +269,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                     ids = pa.array([s.items[x] for x in item])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), ids, *map(pa.array, rest), pa.array([len(s.words[x]) for x in item])], [f.name for f in schema])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -286,7 +286,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                 keep[[x[0] for x in _scan(batch.column(at), shared.value, threshold)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._text import BLOCK_BYTES, in_fold, read, unit, with_text
+from evigraph.llm._text import BLOCK_BYTES, in_fold, read, trimmed, unit, with_text
 
 BUCKETS = 1 << 17
 #: Most documents of a language that are learned from, in expectation: the classifier's sample bound.
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, pa.string())], [*keep, "lang_pred", "score", "mixture"])
 
     out = schema.add("lang_pred", "string").add("score", "double").add("mixture", "string")
-    return rows_in.mapInArrow(run, out)
+    return rows_in.mapInArrow(trimmed(run), out)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

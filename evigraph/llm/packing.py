@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from evigraph.llm._text import IS_LETTER, LOWER, Spans, expand, look, read, segment_sum, text_blocks, words
+from evigraph.llm._text import IS_LETTER, LOWER, Spans, expand, look, read, segment_sum, text_blocks, trimmed, words
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 STEP_TOKENS = 8 * 2048
 GROUP_TOKENS = 1 << 20
-_TABLE_BITS, _TABLE_WORDS = 20, 1 << 19
+_TABLE_BITS, _TABLE_WORDS = 21, 1 << 20
 
 
 _MARKS = np.zeros(256, bool)
@@ -65,12 +65,10 @@ class WordIds:
         self.tokenizer = tokenizer
         said = tokenizer.to_str()
         self.ignores_case, self.cuts = '"Lowercase"' in said, "[^\\\\s\\\\p{L}\\\\p{N}]+" in said
-        self._clear()
-
-    def _clear(self) -> None:
         self.keys = np.zeros(1 << _TABLE_BITS, np.uint64)
         self.slots = np.zeros(1 << _TABLE_BITS, np.int32)
-        self.begins, self.lengths, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
+        kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.int32
+        self.begins, self.lengths, self.pool = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, kind)
         self.count, self.used = 0, 0
 
     def _probe(self, h: np.ndarray) -> np.ndarray:
@@ -87,8 +85,7 @@ class WordIds:
         return out
 
     def _insert(self, h: np.ndarray, ids: list[list[int]]) -> None:
-        n, lengths = len(h), np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for row in ids for x in row), np.int32, int(lengths.sum()))
+        n, (lengths, flat) = len(h), _flatten(ids)
         while self.count + n > len(self.begins):
             self.begins, self.lengths = np.resize(self.begins, 2 * len(self.begins)), np.resize(self.lengths, 2 * len(self.lengths))
         while self.used + len(flat) > len(self.pool):
@@ -118,20 +115,30 @@ class WordIds:
         h = np.maximum(w.hashes(), np.uint64(1))
         number = self._probe(h)
         missed = np.flatnonzero(number < 0)
+        extra = (np.zeros(0, np.int64),) * 2
         if len(missed):
             new, at = np.unique(h[missed], return_index=True)
-            if self.count + len(new) > _TABLE_WORDS:
-                self._clear()
-                new, at = np.unique(h, return_index=True)
-                missed = np.arange(len(h))
             at = missed[at]
             raw = buf.tobytes()
-            for k in range(0, len(new), _TABLE_WORDS):
-                texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(w.starts[at[k : k + _TABLE_WORDS]].tolist(), w.ends[at[k : k + _TABLE_WORDS]].tolist(), strict=True)]
-                self._insert(new[k : k + _TABLE_WORDS], [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            room = max(0, min(len(new), _TABLE_WORDS - self.count, (2**31 - self.used) // 64))
+            self._insert(new[:room], ids[:room])  # the first words met are mostly the frequent ones; a full cache keeps them
             number[missed] = self._probe(h[missed])
-        lengths = self.lengths[number]
-        flat = self.pool[expand(self.begins[number], lengths)]
+            extra = _flatten(ids[room:])
+            missed = missed[number[missed] < 0]
+        lengths = self.lengths.take(np.maximum(number, 0)).astype(np.int64)
+        if len(missed):
+            rank = np.searchsorted(new[room:], h[missed])
+            lengths[missed] = extra[0][rank]
+        kept = number >= 0
+        if len(missed):
+            flat = np.zeros(int(lengths.sum()), np.int32)
+            mine = np.repeat(kept, lengths)
+            flat[mine] = self.pool.take(expand(self.begins.take(number[kept]).astype(np.int64), lengths[kept]))
+            flat[~mine] = extra[1].take(expand((np.cumsum(extra[0]) - extra[0])[rank], extra[0][rank]))
+        else:
+            flat = self.pool.take(expand(self.begins.take(number).astype(np.int64), lengths))
         counts = segment_sum(lengths, w.first) + 1
         bounds = np.concatenate(([0], np.cumsum(counts)))
         out = np.full(bounds[-1], END_ID, np.int32)
@@ -139,6 +146,12 @@ class WordIds:
         return out, bounds
 
 
+def _flatten(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of lists of ids, and all ids in a row."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return lengths, np.fromiter((x for row in ids for x in row), np.int32, int(lengths.sum()))
+
+
 def _without_marks(w: Spans, offs: np.ndarray) -> Spans:
     """The same runs, with one closing mark after a Latin letter as a run of its own."""
     buf, last, length = w.buf, w.ends - 1, w.ends - w.starts
@@ -293,7 +306,7 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFr
         packer.pack(True)
         yield from flush()
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text")).mapInArrow(trimmed(run), schema)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

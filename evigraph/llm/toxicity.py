@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._text import IS_LETTER, IS_SPACE, LOWER, Lookup, Spans, in_fold, look, read, segment_sum, text_blocks, unit, with_text
+from evigraph.llm._text import IS_LETTER, IS_SPACE, LOWER, Lookup, Spans, in_fold, look, read, segment_sum, text_blocks, trimmed, unit, with_text
 from evigraph.llm._trees import Boosted, fit_boosted, fit_isotonic
 
 #: Most labelled rows of a class, in expectation, for the lexicon and for trees with calibration.
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> ToxicityModel:
 
     known = known.withColumn("__u", unit("doc_id", 7))
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    grams = texts.join(part(0.0, MAX_LEXICON_DOCS, share), "doc_id").select("text", "toxic").mapInArrow(_count_keys, "key long, toxic long, other long")
+    grams = texts.join(part(0.0, MAX_LEXICON_DOCS, share), "doc_id").select("text", "toxic").mapInArrow(trimmed(_count_keys), "key long, toxic long, other long")
     grams = grams.groupBy("key").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     rate = [min(share * sizes[k], MAX_LEXICON_DOCS) for k in (1, 0)]
     odds = F.log((F.col("a") + 0.5) / (rate[0] + 1)) - F.log((F.col("b") + 0.5) / (rate[1] + 1))
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> ToxicityModel:
     lexicon = Lookup(top["key"].to_numpy(np.int64).view(np.uint64), top["odds"].to_numpy(float))
     shared = spark.sparkContext.broadcast(lexicon)
     rows = texts.join(part(share, MAX_TREE_DOCS, 1 - share), "doc_id").select("text", "toxic", F.col("__u").alias("u"))
-    found = rows.mapInArrow(_featurise(shared), "x array<double>, toxic long, u double").toPandas()
+    found = rows.mapInArrow(trimmed(_featurise(shared)), "x array<double>, toxic long, u double").toPandas()
     if found["toxic"].nunique() < 2:
         return ToxicityModel(lexicon, None, (np.zeros(1), np.zeros(1)), float(sizes[1] / sum(sizes.values())))
     found = found.sort_values("u", kind="stable")
@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
             s = np.concatenate(rows) if rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return rows_in.mapInArrow(run, out)
+    return rows_in.mapInArrow(trimmed(run), out)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
