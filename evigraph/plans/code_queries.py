@@ -66,7 +66,7 @@ def alias_calls(spark, d):
     return derived.alias_calls(sites, c.select("path", F.col("line").alias("alias"), "dst"), domain.module_edges(spark, d))
 
 
-@query("fixture_injections", "WITH q AS (SELECT 'c' || c_custkey AS src, c_nationkey AS n, c_mktsegment AS name FROM customer), f AS (SELECT s_nationkey AS n, 's' || s_suppkey AS dst FROM supplier), near AS (SELECT q.src, q.name, f.dst FROM q JOIN f ON f.n = q.n), one AS (SELECT src FROM near GROUP BY src HAVING count(DISTINCT dst) = 1), has AS (SELECT DISTINCT src FROM near), far AS (SELECT q.src, q.name, 'r' || n.n_regionkey AS dst FROM q JOIN nation n ON n.n_nationkey = q.n WHERE q.src NOT IN (SELECT src FROM has)) SELECT src, dst, name FROM near WHERE src IN (SELECT src FROM one) UNION ALL SELECT * FROM far")
+@query("fixture_injections", "WITH q AS (SELECT 'c' || c_custkey AS src, c_nationkey AS n, c_mktsegment AS name FROM customer), f AS (SELECT s_nationkey AS n, 's' || s_suppkey AS dst FROM supplier), near AS (SELECT q.src, q.name, f.dst FROM q JOIN f ON f.n = q.n), one AS (SELECT src FROM near GROUP BY src HAVING count(DISTINCT dst) = 1), has AS (SELECT DISTINCT src FROM near), far AS (SELECT q.src, q.name, 'r' || n.n_regionkey AS dst FROM q JOIN nation n ON n.n_nationkey = q.n WHERE q.src NOT IN (SELECT src FROM has)) SELECT src, dst, name FROM near WHERE src IN (SELECT src FROM one) UNION ALL SELECT src, dst, name FROM far")
 def fixture_injections(spark, d):
     """A customer's request takes its nation's only supplier, else its region; two suppliers refuse."""
     n = table(spark, d, "nation")
