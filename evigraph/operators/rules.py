@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # How verdicts rank, worst first.
 SEVERITY = {"fail": 0, "suspect": 1, "unknown": 2, "soft": 3, "pass": 4, "skipped": 5}
 TESTED_BY_GRAPH = "forbidden-import"
+BROADCAST_RULES = 10_000
 
 
 def scope_matches(scope: Column, path: Column) -> Column:
@@ -63,13 +64,14 @@ def resolve_policy(commands: DataFrame, policy: DataFrame, defaults: DataFrame)
 
     A denial anywhere wins, the most specific one named; else the most specific
     scope with a match decides, escalation before allowance, then file order;
-    else the most specific default; else escalate. Policies are few, so commands
-    meet them by a nested loop over a broadcast side of bounded size.
+    else the most specific default; else escalate. A glob is no equi-join: up to
+    BROADCAST_RULES rules are broadcast, more are joined as Spark plans it.
     """
     asked = commands.select("command").distinct().withColumn("normal", normalise_command(F.col("command")))
-    hit = asked.join(F.broadcast(policy.limit(10_000)), glob_matches(F.col("pattern"), F.col("normal")))
+    few = policy.count() <= BROADCAST_RULES
+    hit = asked.join(F.broadcast(policy) if few else policy, glob_matches(F.col("pattern"), F.col("normal")))
     deny = F.col("decision") == "deny"
-    order = F.struct(F.when(deny, 0).otherwise(1).alias("d"), (-F.col("specificity")).alias("s"), F.when(F.col("decision") == "escalate", 0).otherwise(1).alias("e"), F.when(deny, F.col("file_order")).otherwise(F.col("file_order")).alias("o"))
+    order = F.struct(F.when(deny, 0).otherwise(1).alias("d"), (-F.col("specificity")).alias("s"), F.when(F.col("decision") == "escalate", 0).otherwise(1).alias("e"), F.col("file_order").alias("o"))
     best = hit.groupBy("command").agg(F.min_by(F.struct("decision", "source"), order).alias("rule"))
     fallback = defaults.agg(F.max_by(F.struct("decision", "source"), "specificity").alias("fallback"))
     out = asked.join(best, "command", "left").join(F.broadcast(fallback), how="left")
