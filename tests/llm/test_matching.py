@@ -70,6 +70,16 @@ def test_families_and_blocks_are_opened(docs, monkeypatch):
     assert found_components(docs(rows)) == brute_components(rows)
 
 
+def test_pairs_that_share_late_tokens_of_long_lists(docs):
+    """A passage's tokens come late in all of its many sets; a pair that links needs them in its count."""
+    passage = " ".join(f"p{k}" for k in range(20))
+    texts = [f"{passage} x y z w", f"{passage} x y q r"] + [passage + "".join(f" o{k}v{j}" for j in range(4)) for k in range(30)]
+    rows = list(enumerate(texts))
+    want = brute_components(rows)
+    assert want[1] == (20, 0) and len({c for _, c in want.values()}) == len(rows) - 1
+    assert found_components(docs(rows)) == want
+
+
 def test_exactly_at_the_threshold(docs):
     a = [f"w{k}" for k in range(11)]  # 7 shingles
     rows = [(5, " ".join(a)), (9, " ".join(a[:10])), (2, " ".join(a[:9])), (7, "x y z"), (8, "X  y\tz")]
