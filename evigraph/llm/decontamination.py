@@ -2,10 +2,12 @@
 
 Test items and documents are sequences of words (runs of letters and digits,
 capitals of Latin-1 in lower case, combining marks composed). Word trigrams of an item that are rare among all documents
-are its seeds. A document region where seeds of an item fall on near diagonals
-is aligned with the item, words matching at 1, differing at MISMATCH, skipped
-at GAP; the score is the best local alignment's over the item's length, so 1 is
-an exact copy and edits lower it. Pairs at or above a threshold are leaks.
+are its seeds. A document region where seeds of an item fall on near diagonals,
+or a single one does, is aligned with the item, words matching at 1, differing at
+MISMATCH, skipped at GAP; the score is the best local alignment's over the item's
+length, so 1 is an exact copy and edits lower it. Only regions with too few of
+the item's words for the threshold aren't aligned. Pairs at or above a threshold
+are leaks; a copy so edited that no seed is left in it isn't found.
 
 A gram is common only if it is frequent among the documents and far more so than
 its item's other grams, so a passage that many documents copied keeps its seeds.
@@ -39,6 +41,7 @@ COMMON_SHARE, LEAST_COMMON, TIMES_MEDIAN = 0.01, 16, 8.0
 MISMATCH, GAP = -0.4, -0.5
 THRESHOLD = 0.5
 BLOCK_CHARS = 8_000_000
+_REGION_WORDS = 1 << 18
 
 _INSIDE = IS_LETTER.copy()
 _INSIDE[48:58] = True
@@ -90,6 +93,8 @@ class Seeds:
     item: np.ndarray  # places: item number
     at: np.ndarray  # places: word number
     rare: np.ndarray  # by place
+    bag: Lookup  # distinct words of each item, by bag_key, to their number
+    times: np.ndarray  # how often the item has each of these
 
     def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(word number in the block, gram number) of all grams inside documents."""
@@ -103,6 +108,10 @@ class Seeds:
         return (np.concatenate(where), np.concatenate(what)) if where else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def bag_key(word: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return mix64(word + (item.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def build_seeds(ids: list, texts: list[str | None]) -> Seeds:
     column = pa.array(texts, pa.large_string())
     words: list[np.ndarray] = []
@@ -120,13 +129,14 @@ def build_seeds(ids: list, texts: list[str | None]) -> Seeds:
             at.append(np.arange(len(g)))
     if not hashes:
         none = np.zeros(0, np.int64)
-        return Seeds(ids, words, {}, none, none, none, none, none.astype(bool))
+        return Seeds(ids, words, {}, none, none, none, none, none.astype(bool), Lookup(none.astype(np.uint64), none), none)
+    keys, times = np.unique(bag_key(np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words])), return_counts=True)
     h, k, item_, at_ = (np.concatenate(x) for x in (hashes, lengths, item, at))
     order = np.lexsort((h, k))
     h, k, item_, at_ = h[order], k[order], item_[order], at_[order]
     begin = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1]))))
     grams = {int(x): Lookup(h[begin[k[begin] == x]], np.flatnonzero(k[begin] == x)) for x in np.unique(k)}
-    return Seeds(ids, words, grams, begin, np.diff(np.append(begin, len(h))), item_, at_, np.ones(len(h), bool))
+    return Seeds(ids, words, grams, begin, np.diff(np.append(begin, len(h))), item_, at_, np.ones(len(h), bool), Lookup(keys, np.arange(len(keys))), times)
 
 
 def choose_rare(seeds: Seeds, frequency: np.ndarray, docs: int) -> None:
@@ -167,6 +177,20 @@ def align(item: np.ndarray, windows: np.ndarray, lengths: np.ndarray) -> tuple[n
     return best, end
 
 
+def most_matches(seeds: Seeds, h: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """How many words of its item each region h[lo:hi] has, repeats counted: no alignment scores more."""
+    out = np.zeros(len(item), np.int64)
+    turn = np.cumsum(hi - lo) // _REGION_WORDS
+    for k in np.unique(turn):
+        own = np.flatnonzero(turn == k)
+        n = hi[own] - lo[own]
+        region = np.repeat(own, n)
+        at, word = seeds.bag.find(bag_key(h[expand(lo[own], n)], item[region]))
+        pair, many = np.unique(region[at] * len(seeds.times) + word, return_counts=True)
+        out += np.bincount(pair // len(seeds.times), np.minimum(many, seeds.times[pair % len(seeds.times)]), len(out)).astype(np.int64)
+    return out
+
+
 def find_leaks(seeds: Seeds, h: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int, int]]:
     """(document, item number, score, seeds, first word, last word) of a block's leaks."""
     pos, gram = seeds.hits(h, first)
@@ -179,18 +203,16 @@ def find_leaks(seeds: Seeds, h: np.ndarray, first: np.ndarray, threshold: float)
     doc = np.searchsorted(first, pos, "right") - 1
     item, start = seeds.item[place], pos - seeds.at[place]
     order = np.lexsort((start, item, doc))
-    doc, item, start, at = doc[order], item[order], start[order], seeds.at[place][order]
+    doc, item, start = doc[order], item[order], start[order]
     size = np.array([len(w) for w in seeds.words])
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(start) > SLACK + size[item[1:]] // 4)
     begin = np.flatnonzero(new)
     many = np.diff(np.append(begin, len(doc)))
-    spread = np.maximum.reduceat(at, begin) > np.minimum.reduceat(at, begin) if len(begin) else np.zeros(0, bool)
-    good = spread | (size[item[begin]] < 8)
     lo = np.maximum(np.minimum.reduceat(start, begin) - SLACK, first[doc[begin]]) if len(begin) else begin
     hi = np.minimum(np.maximum.reduceat(start, begin) + size[item[begin]] * 5 // 4 + SLACK, first[doc[begin] + 1]) if len(begin) else begin
     out: dict[tuple[int, int], tuple] = {}
-    regions = np.flatnonzero(good)
+    regions = np.flatnonzero(most_matches(seeds, h, item[begin], lo, hi) >= threshold * size[item[begin]] - 1e-9)
     regions = regions[np.argsort(item[begin[regions]], kind="stable")]
     for k in range(0, len(regions), 64):
         part = regions[k : k + 64]

@@ -121,6 +121,24 @@ def test_leaks_exact_edited_and_clean(spark, docs):
     assert kept == set(range(64)) - {d for d, _ in want}
 
 
+def test_leaks_with_a_single_seed(spark, docs):
+    """Copies so edited that one trigram is left, at scores over and under the threshold."""
+    items, texts, want = [], [], {}
+    for k, (n, changed) in enumerate([(9, (2, 6)), (8, (2, 6)), (10, (1, 4, 6)), (15, (2, 5, 8, 11)), (15, (2, 4, 7, 9, 11)), (9, (0, 1, 5, 6, 7))]):
+        item = [f"i{k}w{j}" for j in range(n)]
+        copy = [f"other{j}" if j in changed else w for j, w in enumerate(item)]
+        items.append((k, " ".join(item)))
+        texts.append(" ".join([f"a{j}" for j in range(30)] + copy + [f"b{j}" for j in range(30)]))
+        score, _ = decontamination.align(*(np.array([hash(w) & (1 << 62) - 1 for w in x], np.uint64).reshape(shape) for x, shape in ((item, -1), (copy, (1, -1)))), np.array([n]))
+        if score[0] >= 0.5 * n:
+            want[k] = pytest.approx(score[0] / n, abs=1e-6)
+    assert set(want) == {0, 1, 2, 3, 4}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.leaks(docs(texts), bench).collect()
+    assert all(r["doc_id"] == r["item_id"] for r in got) and {r["doc_id"]: r["score"] for r in got} == want
+    assert [r["doc_id"] for r in decontamination.decontaminate(docs(texts), bench).collect()] == [5]
+
+
 def test_leaks_in_other_unicode_forms(spark, docs):
     text = "el niño pasó después del colegio más rápido según él"
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
