@@ -6,13 +6,17 @@ attribution. A passage, normalised to lower-case letters and digits between
 single spaces, is hashed and joined to the hashes of the whole own text, the
 paragraphs and the lines of all messages. Its source is the earliest such
 message of the same conversation before the quoting one, or else the earliest
-by (conversation, turn) before it. A message replies to the source of its first
-passage of the lowest level that has one. Messages come back without quotes,
-with their place in the conversation, in which every reply follows what it
-replies to, and with their thread's first message and depth.
+by (conversation, turn) before it. A passage that has none is trimmed: its source,
+by the same order, is a message whose own text has each of its lines as a run of
+words, or, if it is of fewer than RUN words, as a line or sentence. Such messages
+are looked up by the passage's rarest run of at most RUN words. A message replies
+to the source of its first passage of the lowest level that has one. Messages
+come back without quotes, with their place in the conversation, in which every
+reply follows what it replies to, and with their thread's first message and depth.
 
 Results in odd cases: null and empty texts stay as they are and quote nothing;
-passages without letters or digits have no source; rows with a null
+passages without letters or digits have no source, and lines without any don't
+count in a trimmed passage; rows with a null
 conversation or turn are returned but neither quote nor are quoted, and have no
 place. Repeated (conv_id, turn) rows each count as a message, and share links.
 Columns besides conv_id, turn, role and text are not read.
@@ -27,6 +31,8 @@ from evigraph.llm._text import cut, read
 
 #: Turns of a conversation that are ranked together.
 TURNS = 1024
+#: Words of the runs by which sources of trimmed passages are looked up.
+RUN = 4
 
 
 def normalised(text: Column) -> Column:
@@ -51,6 +57,49 @@ def quote_lines(messages: DataFrame) -> DataFrame:
     return lines.withColumn("new", new).withColumn("run", F.sum("new").over(order)).drop("new")
 
 
+def _runs(words: Column, full: Column) -> Column:
+    """Hashes of the runs of RUN words (of all that fit, if full), and else of shorter ones too."""
+    run = lambda i, n: F.xxhash64(F.lit(n), *(F.get(words, i + j) for j in range(n)))
+    starts = lambda n: F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    of = lambda n: F.transform(starts(n), lambda i: run(i, n))
+    return F.when(full, of(RUN)).otherwise(F.concat(*(of(n) for n in range(1, RUN + 1))))
+
+
+def _earliest(found: DataFrame, given: DataFrame, key: str) -> DataFrame:
+    """Adds source: the earliest message with the key in the same conversation, or else anywhere, before the quoting one."""
+    here = given.groupBy(key, "conv_id").agg(F.min("turn").alias("here"))
+    any_where = given.groupBy(key).agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    found = found.join(here, [key, "conv_id"], "left").join(any_where, key, "left")
+    inside = F.col("here") < F.col("turn")
+    before = (F.col("first.conv_id") < F.col("conv_id")) | ((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") < F.col("turn")))
+    source = F.when(inside, F.struct("conv_id", F.col("here").alias("turn"))).when(before, F.col("first"))
+    return found.withColumn("source", source).drop("here", "first")
+
+
+def _trimmed(passages: DataFrame, texts: DataFrame) -> DataFrame:
+    """Passages with a source, if any, that has each of their lines somewhere."""
+    lines = F.filter(F.transform(F.split("passage", "\n"), normalised), lambda x: x != "")
+    passages = passages.withColumn("lines", F.array_sort(F.array_distinct(lines))).withColumn("trim", F.xxhash64("lines"))
+    passages = passages.withColumn("n", F.size(F.split(F.array_join("lines", " "), " ")))
+    asked = cut(passages.select("trim", "lines", "n").dropDuplicates(["trim"]), "asked")
+    # a line of RUN words or more is looked up by its runs of RUN words, a shorter one as a whole
+    line = cut(asked.select("trim", F.explode("lines").alias("line")).select("trim", F.split("line", " ").alias("w")), "lines")
+    whole = F.coalesce(*(F.when(F.size("w") == n, F.xxhash64(F.lit(n), *(F.get("w", F.lit(j)) for j in range(n)))) for n in range(1, RUN)))
+    runs = line.select("trim", F.explode(F.when(F.size("w") < RUN, F.array(whole)).otherwise(_runs(F.col("w"), F.lit(True)))).alias("run")).distinct()
+    texts = texts.filter("conv_id is not null and turn is not null and own <> ''").select("conv_id", "turn", "own", normalised(F.col("own")).alias("norm"))
+    texts = cut(texts.filter("norm <> ''").dropDuplicates(["conv_id", "turn", "norm"]).select("*", F.xxhash64("conv_id", "turn", "norm").alias("message"), F.split("norm", " ").alias("w")), "texts")  # words are split once, not for each run
+    held = texts.select("message", F.explode(F.array_distinct(_runs(F.col("w"), F.lit(False)))).alias("run"))
+    held = cut(held.join(runs.select("run").distinct(), "run", "left_semi"), "runs")
+    often = held.groupBy("run").agg(F.count("*").alias("often"))
+    rarest = runs.join(often, "run", "left").groupBy("trim").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "run")).alias("least"))
+    rarest = rarest.filter("least.often > 0").select("trim", "least.run")
+    pairs = rarest.join(held, "run").select("trim", "message").join(asked, "trim").join(texts, "message")
+    units = F.transform(F.split("own", r"\r?\n|[.!?]+\s+"), normalised)
+    inside = F.forall("lines", lambda x: F.contains(F.concat(F.lit(" "), F.col("norm"), F.lit(" ")), F.concat(F.lit(" "), x, F.lit(" "))))
+    given = pairs.filter(inside & ((F.col("n") >= RUN) | F.forall("lines", lambda x: F.array_contains(units, x)))).select("trim", "conv_id", "turn")
+    return _earliest(passages, given, "trim")
+
+
 def link(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, text (without quotes), quotes, linked, reply_conv,
     reply_turn, thread_conv, thread_turn, depth, place."""
@@ -67,13 +116,10 @@ def link(messages: DataFrame) -> DataFrame:
     pieces = F.concat(F.array("own"), F.split("own", r"\r?\n[ \t]*\r?\n"), F.split("own", r"\r?\n"))
     given = texts.filter("conv_id is not null and turn is not null and own <> ''").select("conv_id", "turn", F.explode(F.array_distinct(pieces)).alias("piece"))
     given = given.select("conv_id", "turn", passage_key(F.col("piece")).alias("key")).join(asked, "key", "left_semi")
-    here = given.groupBy("key", "conv_id").agg(F.min("turn").alias("here"))
-    any_where = given.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    found = passages.join(here, ["key", "conv_id"], "left").join(any_where, "key", "left")
-    inside = F.col("here") < F.col("turn")
-    before = (F.col("first.conv_id") < F.col("conv_id")) | ((F.col("first.conv_id") == F.col("conv_id")) & (F.col("first.turn") < F.col("turn")))
-    source = F.when(inside, F.struct("conv_id", F.col("here").alias("turn"))).when(before, F.col("first"))
-    found = found.withColumn("source", source)
+    found = cut(_earliest(passages, given, "key"), "passages")
+    lost = found.filter("source is null and key is not null").drop("source")
+    if lost.limit(1).count():
+        found = found.filter("source is not null or key is null").unionByName(_trimmed(lost, texts).select(*found.columns))
     replies = found.groupBy("id").agg(F.count("*").alias("quotes"), F.count("source").alias("linked"), F.min(F.when(F.col("source").isNotNull(), F.struct("level", "run", "source")))["source"].alias("reply"))
     out = cut(texts.join(replies, "id", "left").select("conv_id", "turn", "role", F.col("own").alias("text"), F.coalesce("quotes", F.lit(0)).alias("quotes"), F.coalesce("linked", F.lit(0)).alias("linked"), F.col("reply.conv_id").alias("reply_conv"), F.col("reply.turn").alias("reply_turn")), "replies")
     return _places(_threads(out))

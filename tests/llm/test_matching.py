@@ -234,6 +234,26 @@ def test_quotes_are_linked_and_removed(spark):
     assert quotes.link(df.limit(0)).count() == 0
 
 
+def test_trimmed_quotes_are_linked(spark):
+    """Two of three paragraphs, lines of a longer paragraph, a sentence of a line, part of one, and what isn't held."""
+    first = "The first part is about trees.\n\nThe second part is about rivers.\n\nThe third part is about clouds."
+    long = "Line one tells of apples and\nline two of pears and plums,\nline three of nuts. It works now. Also line four of figs"
+    asks = [
+        ("> The first part is about trees.\n>\n> The second part is about rivers.\nyes", 0), ("> The first part is about trees.\n>\n> The third part is about clouds.\nno", 0),
+        ("> Line one tells of apples and\n> line two of pears and plums,\nso", 1), ("> It works now.\nfine", 1), ("> Also line four of figs\ngood", 1), ("> line two of pears\n> and plums, line three of nuts.\nwrapped", 1),
+        ("> The first part is about rivers.\nno such", None), ("> The first part is about trees.\n> line two of pears and plums\nof two messages", None), ("> works\nof no sentence", None), ("> ine two of pears and plum\npart of words", None),
+    ]
+    rows = [(1, 0, "user", first), (1, 1, "assistant", long)] + [(1 + k % 2, 10 + k, "user", text) for k, (text, _) in enumerate(asks)]
+    rows += [(3, 0, "user", long)]  # later ones don't matter
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = quotes.link(df).collect()
+    got = {(r["conv_id"], r["turn"]): r for r in out}
+    assert len(out) == len(rows)
+    assert [got[1 + k % 2, 10 + k]["reply_turn"] for k in range(len(asks))] == [turn for _, turn in asks]
+    assert all(r["reply_conv"] in (None, 1) and r["quotes"] == (r["turn"] >= 10) for r in out)
+    assert (got[2, 11]["thread_conv"], got[2, 11]["thread_turn"], got[2, 11]["depth"]) == (1, 0, 1)
+
+
 def test_quotes_query_keeps_every_message(spark, small):
     table = spark.read.parquet(f"{small}/conversations.parquet")
     out = quotes.op2_quote_linking(spark, small)
