@@ -1,13 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 Test items and documents are sequences of words (runs of letters and digits,
-capitals of Latin-1 in lower case, combining marks composed). Word trigrams of an item that are rare among all documents
-are its seeds. A document region where seeds of an item fall on near diagonals,
+in lower case, combining marks composed). Word pairs of an item that are rare among
+all documents are its seeds: an alignment of four words or more that reaches a
+threshold of 0.5 holds two adjacent words of its item unchanged (unless words are
+inserted at nearly every place). A document region where seeds of an item fall on near diagonals,
 or a single one does, is aligned with the item, words matching at 1, differing at
 MISMATCH, skipped at GAP; the score is the best local alignment's over the item's
 length, so 1 is an exact copy and edits lower it. Only regions with too few of
 the item's words for the threshold aren't aligned. Pairs at or above a threshold
-are leaks; a copy so edited that no seed is left in it isn't found.
+are leaks, unless all unchanged pairs of the copy are common ones.
 
 A gram is common only if it is frequent among the documents and far more so than
 its item's other grams, so a passage that many documents copied keeps its seeds.
@@ -15,7 +17,7 @@ Items go to the tasks in blocks of at most BLOCK_CHARS characters; a larger
 benchmark takes more passes over the documents.
 
 Results in odd cases: null or empty items and documents match nothing; items of
-fewer than three words have their whole sequence as the seed; repeated items
+fewer than four words have their single words as seeds; repeated items
 count by item_id, the best score of a (document row, item) pair is kept, ties
 going to the earliest region. A null doc_id or item_id is kept as null. Columns
 besides those named are not read, but decontaminate() returns all of its rows'.
@@ -32,10 +34,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evigraph.llm._text import IS_LETTER, LOWER, Lookup, Spans, expand, look, mix64, read, text_blocks, trimmed, window_hash
 
-K, SLACK = 3, 8
+K, SLACK = 2, 8
 #: A gram is common if it occurs more often than in this share of documents, and so many times the item's median.
 COMMON_SHARE, LEAST_COMMON, TIMES_MEDIAN = 0.01, 16, 8.0
 MISMATCH, GAP = -0.4, -0.5
@@ -45,20 +48,23 @@ _REGION_WORDS = 1 << 18
 
 _INSIDE = IS_LETTER.copy()
 _INSIDE[48:58] = True
+#: Lead bytes of combining marks and of the cased scripts beyond Latin-1.
+_CASED = np.zeros(256, bool)
+_CASED[[*range(0xC4, 0xD7), 0xE1, 0xE2, 0xEA, 0xEF, 0xF0]] = True
 
 
 def _composed(column: pa.Array) -> pa.Array:
-    """The texts, those with combining marks in composed form (NFC)."""
+    """The texts, those with combining marks in composed form (NFC), those with capitals beyond Latin-1 in lower case."""
     found = []
     for i, _, buf, offs in text_blocks(column):
-        marks = np.flatnonzero((buf == 0xCC) | (buf == 0xCD))  # lead bytes of combining diacritical marks
+        marks = np.flatnonzero(look(_CASED, buf))
         found.append(np.unique(np.searchsorted(offs, marks, "right") - 1) + i)
     rows = np.concatenate(found) if found else np.zeros(0, np.int64)
     if not len(rows):
         return column
     mask = np.zeros(len(column), bool)
     mask[rows] = True
-    own = [unicodedata.normalize("NFC", t) for t in column.take(pa.array(rows)).to_pylist()]
+    own = [unicodedata.normalize("NFC", unicodedata.normalize("NFC", t).lower()) for t in column.take(pa.array(rows)).to_pylist()]
     return pc.replace_with_mask(column, pa.array(mask), pa.array(own, column.type))
 
 
@@ -120,7 +126,7 @@ def build_seeds(ids: list, texts: list[str | None]) -> Seeds:
         words += [h[w.first[d] : w.first[d + 1]] for d in range(len(offs) - 1)]
     hashes, lengths, item, at = [], [], [], []
     for n, own in enumerate(words):
-        k = min(K, len(own))
+        k = K if len(own) >= 4 else min(1, len(own))
         if k:
             g = window_hash(own, np.arange(len(own) - k + 1), k)
             hashes.append(g)
@@ -249,8 +255,8 @@ def fit(docs: DataFrame, benchmark: DataFrame) -> list[Seeds]:
     blocks = max(1, -(-(sizes["chars"] or 0) // BLOCK_CHARS))
     out = []
     for b in range(blocks):
-        own = benchmark.select("item_id", "text").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().toPandas()
-        seeds = build_seeds(own["item_id"].tolist(), [t if isinstance(t, str) else None for t in own["text"]])
+        own = benchmark.select("item_id", "text").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
+        seeds = build_seeds(own["item_id"].to_pylist(), own["text"].to_pylist())
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -288,7 +294,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                 found = _scan(batch.column(1), s, threshold)
                 if found:
                     doc, item, *rest = zip(*found, strict=True)
-                    ids = pa.array([s.items[x] for x in item])
+                    ids = pa.array([s.items[x] for x in item], to_arrow_type(schema["item_id"].dataType))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), ids, *map(pa.array, rest), pa.array([len(s.words[x]) for x in item])], [f.name for f in schema])
 
         part = docs.select("doc_id", "text").mapInArrow(trimmed(run), schema)

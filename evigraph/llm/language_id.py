@@ -10,7 +10,8 @@ log-likelihood doesn't fall.
 
 Results in odd cases: a null text, or one without any letter, is ``und`` with
 score 0 and an empty mixture; so is every text when nothing was learned. Equal
-proportions go to the language whose name sorts first. Every row gives one row,
+proportions go to the language whose name sorts first; letters are those of the
+whole of Unicode. Every row gives one row,
 repeated ids included; a null id is never held out and never learned from.
 Columns besides ``doc_id``, ``text`` and ``lang`` are not read.
 """
@@ -38,9 +39,7 @@ _letters: list[np.ndarray] = []
 def letters() -> np.ndarray:
     """Which code points are letters; built once per worker."""
     if not _letters:
-        table = np.zeros(0x110000, bool)
-        table[:0x30000] = [chr(i).isalpha() for i in range(0x30000)]
-        _letters.append(table)
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
     return _letters[0]
 
 
@@ -178,6 +177,23 @@ def fit(docs: DataFrame, train: Column, max_docs: int = MAX_TRAIN_DOCS) -> Langu
     return LanguageModel(names, logp.astype(np.float32))
 
 
+def keep_dominated(docs: DataFrame, model: LanguageModel, min_share: float) -> DataFrame:
+    """The rows of docs in which one learned language has at least min_share of the words, all columns as they were.
+
+    A null text, or one without letters, has no language and goes; extra columns
+    may have any names.
+    """
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            best = [row for part in _parts(texts) for row in shared.value.mixtures(part).max(axis=1, initial=0)]
+            yield batch.filter(pa.array([0 < b and b >= min_share for b in best], pa.bool_()))
+
+    return docs.mapInArrow(trimmed(run), docs.schema)
+
+
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
     """The columns in keep, and lang_pred, score and mixture (``name:share`` by falling share)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,8 +1,10 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a file, and every whole file of up to WHOLE_WORDS words, is a
-vector of its words' counts times their inverse document frequencies, which are
-counted over all files; words outside the templates weigh as the rarest. A file
+Every line of a file, and from every line on the runs of lines that reach each
+length of RUNS words, is a vector of its words' counts times their inverse
+document frequencies, which are counted over all files; words outside the
+templates weigh as the rarest. So a notice is compared as a whole however its
+lines are wrapped and however long the rest of the file is. A file
 declares the template of its best cosine, if that reaches THRESHOLD. A declaring
 file is its directory's licence file if it is called so (LICENSE, COPYING, ...)
 or if the declaration makes up most of its words. A file that declares nothing
@@ -18,6 +20,7 @@ those kept are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm._text import IS_LETTER, LOWER, Lookup, Spans, cut, look, read, segment_sum, text_blocks
+from evigraph.llm._text import IS_LETTER, LOWER, Lookup, Spans, cut, expand, look, read, segment_sum, text_blocks
 
-THRESHOLD, MOSTLY, WHOLE_WORDS = 0.6, 0.5, 400
+THRESHOLD, MOSTLY = 0.6, 0.5
+_UNIT_WORDS = 1 << 18
+#: Directories with a licence that are broadcast at most; more are joined in so many shares each.
+FEW_DIRS, SALTS = 50_000, 16
 # Short forms of the notices by which files state well-known licences.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -49,6 +55,8 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Runs of lines end with the line by which they have so many words: each template's length, and some more.
+RUNS = sorted({len(re.findall(r"[A-Za-z0-9]+", t)) + more for _, t in TEMPLATES for more in (0, 6)})
 LICENCE_FILES = "(?i)(^|/)(licen[cs]e|copying|copyright|notice)([.-][^/]*)?$"
 
 _INSIDE = IS_LETTER.copy()
@@ -120,6 +128,38 @@ def fit(files: DataFrame) -> Matcher:
     return Matcher([x for x, _ in TEMPLATES], lookup, idf, float(np.log(df[n] + 1) + 1), weights)
 
 
+def _runs(begin: np.ndarray, end: np.ndarray, first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end word, first line) of every line, and of every line's runs that reach the lengths in RUNS."""
+    n = len(begin)
+    last = end[first[owner + 1] - 1] if n else end  # where the line's document ends
+    starts, ends, at = [begin], [end], [np.arange(n)]
+    for length in RUNS:
+        stop = np.minimum(begin + length, last)
+        to = end[np.minimum(np.searchsorted(end, stop), n - 1)] if n else end
+        grown = np.flatnonzero(to > end)  # a length reached by fewer lines gives the same run; it counts once
+        starts.append(begin[grown])
+        ends.append(to[grown])
+        at.append(grown)
+    begin, end, at = (np.concatenate(x) for x in (starts, ends, at))
+    order = np.lexsort((end, at))
+    begin, end, at = begin[order], end[order], at[order]
+    once = np.ones(len(at), bool)
+    once[1:] = (at[1:] != at[:-1]) | (end[1:] != end[:-1])
+    once &= end > begin
+    return begin[once], end[once], at[once]
+
+
+def _promising(m: Matcher, term: np.ndarray, begin: np.ndarray, end: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The units whose known words could bring a cosine to THRESHOLD."""
+    known = term >= 0
+    weight = np.concatenate(([0.0], np.cumsum(np.where(known, m.idf[np.maximum(term, 0)], 0.0))))
+    others = np.concatenate(([0], np.cumsum(~known)))
+    mass = weight[end] - weight[begin]  # at least the length of the unit's known part
+    foreign = (others[end] - others[begin]) * m.other**2
+    good = (mass > 0) & (foreign * THRESHOLD**2 <= (1 - THRESHOLD**2) * mass**2 + 1e-9)
+    return begin[good], end[good], line[good]
+
+
 def _best(column: pa.Array, m: Matcher) -> list[tuple[str | None, float, float]]:
     """(licence, cosine, share of the file's words that declare it) of each text."""
     out: list[tuple[str | None, float, float]] = []
@@ -129,26 +169,21 @@ def _best(column: pa.Array, m: Matcher) -> list[tuple[str | None, float, float]]
         at, number = m.vocabulary.find(w.hashes())
         term = np.full(len(w), -1)
         term[at] = number
-        line = np.searchsorted(lines.starts, w.starts, "right") - 1
-        length = np.bincount(line, minlength=len(lines))
-        score = m.unit_scores(term, line, length) if len(lines) else np.zeros((0, len(m.names)))
-        best, top = np.full(docs, -1), np.zeros(docs)
-        share = np.zeros(docs)
-        owner = lines.owner()
-        good = np.flatnonzero(score.max(axis=1) > 0) if len(score) else np.zeros(0, int)
-        peak = score[good].max(axis=1)
-        order = good[np.lexsort((good, -peak))]
-        for x in order[np.unique(owner[order], return_index=True)[1]]:
-            d = owner[x]
-            best[d], top[d], share[d] = score[x].argmax(), score[x].max(), length[x] / max(1, w.counts[d])
-        short = np.flatnonzero((w.counts > 0) & (w.counts <= WHOLE_WORDS))
-        mine = np.isin(w.owner(), short)
-        rank = np.searchsorted(short, w.owner()[mine])
-        whole = m.unit_scores(term[mine], rank, w.counts[short])
-        if len(short):
-            peak = whole.max(axis=1)
-            for k in np.flatnonzero(peak > top[short] + 1e-12):
-                best[short[k]], top[short[k]], share[short[k]] = whole[k].argmax(), peak[k], 1.0
+        owner, held = lines.owner(), np.searchsorted(w.starts, lines.starts)  # words before each line
+        begin, end, unit_line = _runs(held, np.searchsorted(w.starts, lines.ends), lines.first, owner)
+        begin, end, unit_line = _promising(m, term, begin, end, unit_line)
+        best, top, share = np.full(docs, -1), np.zeros(docs), np.zeros(docs)
+        turn = np.cumsum(end - begin) // _UNIT_WORDS
+        for t in np.unique(turn):
+            own = np.flatnonzero(turn == t)
+            n = end[own] - begin[own]
+            score = m.unit_scores(term[expand(begin[own], n)], np.repeat(np.arange(len(own)), n), n)
+            peak, which = score.max(axis=1).round(12), score.argmax(axis=1)
+            d = owner[unit_line[own]]
+            order = np.lexsort((n, unit_line[own], -peak, d))
+            for x in order[np.unique(d[order], return_index=True)[1]]:
+                if peak[x] > top[d[x]]:
+                    best[d[x]], top[d[x]], share[d[x]] = which[x], peak[x], n[x] / max(1, w.counts[d[x]])
         out += [(m.names[b], float(min(1.0, s)), float(p)) if s >= THRESHOLD - 1e-9 else (None, float(s), 0.0) for b, s, p in zip(best, top, share, strict=True)]
     return out
 
@@ -175,8 +210,12 @@ def inherit(scanned: DataFrame) -> DataFrame:
     dirs = rows.filter("path is not null").select("__dir").distinct()
     steps = F.filter(F.split("__dir", "/"), lambda x: x != "")
     chain = dirs.select("__dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("depth")).withColumn("dir", F.array_join(F.slice(steps, 1, F.col("depth")), "/"))
-    nearest = chain.join(given, "dir").groupBy("__dir").agg(F.max(F.struct("depth", "dir", "given")).alias("near"))
-    out = rows.join(nearest, "__dir", "left")
+    nearest = cut(chain.join(given, "dir").groupBy("__dir").agg(F.max(F.struct("depth", "dir", "given")).alias("near")), "nearest")
+    if nearest.limit(FEW_DIRS + 1).count() <= FEW_DIRS:  # one directory may hold most files: those stay where they are
+        out = rows.join(F.broadcast(nearest), "__dir", "left")
+    else:  # dealt by directory and file, each directory's licence to all of its shares
+        salted = nearest.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.withColumn("__salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(salted, ["__dir", "__salt"], "left")
     path_known = F.col("path").isNotNull()
     return out.select(*scanned.columns, F.coalesce("declared", F.when(path_known, F.col("near.given"))).alias("license"), F.when(F.col("declared").isNotNull(), "file").when(path_known, F.col("near.dir")).alias("license_from"))
 

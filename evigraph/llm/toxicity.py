@@ -28,7 +28,6 @@ from evigraph.llm._trees import Boosted, fit_boosted, fit_isotonic
 
 #: Most labelled rows of a class, in expectation, for the lexicon and for trees with calibration.
 MAX_LEXICON_DOCS, MAX_TREE_DOCS = 3000, 6000
-MAX_LEXICON = 8192
 THRESHOLD = 0.7
 WHOLE, PREFIXES = 1, (4, 5, 6)
 
@@ -191,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> ToxicityModel:
     grams = grams.groupBy("key").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     rate = [min(share * sizes[k], MAX_LEXICON_DOCS) for k in (1, 0)]
     odds = F.log((F.col("a") + 0.5) / (rate[0] + 1)) - F.log((F.col("b") + 0.5) / (rate[1] + 1))
-    top = grams.filter(F.col("a") >= 3).withColumn("odds", odds).filter(F.col("odds") > 3.0).orderBy(F.desc(F.col("odds") * F.log1p("a")), "key").limit(MAX_LEXICON).toPandas()
+    top = grams.filter(F.col("a") >= 3).withColumn("odds", odds).filter(F.col("odds") > 3.0).select("key", "odds").orderBy("key").toPandas()  # of at most about MAX_LEXICON_DOCS texts
     lexicon = Lookup(top["key"].to_numpy(np.int64).view(np.uint64), top["odds"].to_numpy(float))
     shared = spark.sparkContext.broadcast(lexicon)
     rows = texts.join(part(share, MAX_TREE_DOCS, 1 - share), "doc_id").select("text", "toxic", F.col("__u").alias("u"))
@@ -211,6 +210,19 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> ToxicityModel:
     return ToxicityModel(lexicon, fit_boosted(x, y, w), fit_isotonic(margin, y, w, prior), prior)
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, all columns as they were; extra columns may have any names."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            rows = [m.score(features(buf, offs, m.lexicon)) for _, _, buf, offs in text_blocks(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(rows) < THRESHOLD if rows else np.zeros(0, bool)))
+
+    return docs.mapInArrow(trimmed(run), docs.schema)
+
+
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
     """The columns in keep, score and predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

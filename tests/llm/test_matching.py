@@ -122,9 +122,9 @@ def test_leaks_exact_edited_and_clean(spark, docs):
 
 
 def test_leaks_with_a_single_seed(spark, docs):
-    """Copies so edited that one trigram is left, at scores over and under the threshold."""
+    """Copies so edited that one pair or trigram is left, at scores over and under the threshold."""
     items, texts, want = [], [], {}
-    for k, (n, changed) in enumerate([(9, (2, 6)), (8, (2, 6)), (10, (1, 4, 6)), (15, (2, 5, 8, 11)), (15, (2, 4, 7, 9, 11)), (9, (0, 1, 5, 6, 7))]):
+    for k, (n, changed) in enumerate([(9, (2, 6)), (8, (2, 6)), (10, (1, 4, 6)), (15, (2, 5, 8, 11)), (15, (2, 4, 7, 9, 11)), (9, (0, 1, 5, 6, 7)), (8, (2, 5)), (11, (2, 5, 8)), (3, (1,)), (2, ())]):
         item = [f"i{k}w{j}" for j in range(n)]
         copy = [f"other{j}" if j in changed else w for j, w in enumerate(item)]
         items.append((k, " ".join(item)))
@@ -132,13 +132,47 @@ def test_leaks_with_a_single_seed(spark, docs):
         score, _ = decontamination.align(*(np.array([hash(w) & (1 << 62) - 1 for w in x], np.uint64).reshape(shape) for x, shape in ((item, -1), (copy, (1, -1)))), np.array([n]))
         if score[0] >= 0.5 * n:
             want[k] = pytest.approx(score[0] / n, abs=1e-6)
-    assert set(want) == {0, 1, 2, 3, 4}
+    assert set(want) == {0, 1, 2, 3, 4, 6, 7, 8, 9}
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.leaks(docs(texts), bench).collect()
     assert all(r["doc_id"] == r["item_id"] for r in got) and {r["doc_id"]: r["score"] for r in got} == want
     assert [r["doc_id"] for r in decontamination.decontaminate(docs(texts), bench).collect()] == [5]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_leaks_against_all_pairs_alignment(spark, docs, seed):
+    """Every pair of document and item at the threshold is found, and no other."""
+    rng = random.Random(seed)
+    vocab = [f"v{k}" for k in range(300)]
+    items = [[rng.choice(vocab) for _ in range(rng.randrange(2, 16))] for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        own = [rng.choice(vocab) for _ in range(rng.randrange(0, 40))]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = [w if rng.random() > 0.2 else rng.choice(vocab) for w in rng.choice(items) if rng.random() > 0.05]
+        texts.append(own)
+    number = {w: np.uint64(k + 1) for k, w in enumerate(vocab)}
+    want = set()
+    for i, item in enumerate(items):
+        for d, own in enumerate(texts):
+            if own:
+                best, _ = decontamination.align(np.array([number[w] for w in item]), np.array([[number[w] for w in own]]), np.array([len(own)]))
+                if best[0] >= 0.5 * len(item) - 1e-9:
+                    want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs([" ".join(x) for x in texts]), bench).collect()}
+    assert got == want
+
+
+def test_leaks_with_null_ids_and_clashing_columns(spark, docs):
+    text = "Ωμέγα Привет мир und noch ein Satz dazu"
+    bench = spark.createDataFrame([(None, text.lower()), (None, None), (3, "")], "item_id long, text string").withColumn("score", F.lit(1))
+    df = docs([(None, "a " + text.upper() + " b"), (4, "nothing here")]).withColumn("score", F.lit("x")).withColumn("item_id", F.lit(7))
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in decontamination.leaks(df, bench).collect()] == [(None, None, 1.0)]
+    assert [r["doc_id"] for r in decontamination.decontaminate(df, bench).collect()] == [4]
+
+
 def test_leaks_in_other_unicode_forms(spark, docs):
     text = "el niño pasó después del colegio más rápido según él"
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
@@ -199,6 +233,24 @@ def test_neighbours_against_brute_force(spark, copies):
         assert [got[q][k][0] for k in range(1, 11)] == pytest.approx([d for d, _ in near], abs=1e-12)
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Rows of one id are candidates each, and leave room for the others."""
+    rng = np.random.default_rng(2)
+    rows = [(0, [0.0, 0.0, 0.1])] + [(5, [0.1, 0.0, 0.1 + k / 1000]) for k in range(4)] + [(5, [50.0, 50.0, float(k)]) for k in range(1, 37)]
+    rows += [(1000 + k, [float(x) for x in rng.normal(size=3)]) for k in range(1, 31)]
+    got = ann_search.search(df := spark.createDataFrame(rows, "vec_id long, embedding array<double>"), df.filter("vec_id = 0")).orderBy("rank").collect()
+    q = np.array(rows[0][1])
+    want = sorted((float(np.sqrt(((np.array(v) - q) ** 2).sum())), i) for i, v in rows[1:])[:10]
+    assert [(r["score"], r["vec_id"]) for r in got] == [(pytest.approx(d, abs=1e-12), i) for d, i in want]
+
+
+def test_curves_alone_reach_the_recall(spark, small):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    near = {(r["query_id"], r["vec_id"]) for r in ann_search.search(vectors, vectors.filter("vec_id % 100 = 0"), exact=False).collect()}
+    full = {(r["query_id"], r["vec_id"]) for r in ann_search.search(vectors, vectors.filter("vec_id % 100 = 0")).collect()}
+    assert len(near & full) >= 0.9 * len(full)
+
+
 def test_neighbours_odd_tables(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (9, [1.0])], schema)
@@ -283,3 +335,74 @@ def test_licence_query_against_plain_search(spark, small):
     for r in licenses.op10_license_scan(spark, small).collect():
         lines = [names[x] for x in text[r["doc_id"]].split("\n") if x in names]
         assert r["declared"] == (lines[0] if lines else None)
+
+
+@pytest.mark.parametrize("per_line", [1, 3, 6, 8, 40])
+def test_wrapped_notices_in_long_files(spark, per_line):
+    """A notice's licence doesn't depend on its line breaks or on what follows it."""
+    wrapped = []
+    for name, notice in licenses.TEMPLATES:
+        w = notice.split()
+        block = "\n".join("# " + " ".join(w[k : k + per_line]) for k in range(0, len(w), per_line))
+        wrapped.append((name, block, block + "\n" + "\n".join(f"call_{k}(arg{k}, value{k})" for k in range(400))))
+    df = spark.createDataFrame([(f"f{k}/{kind}.py", text) for k, (_, *both) in enumerate(wrapped) for kind, text in zip(("short", "long"), both, strict=True)], "path string, text string")
+    got = {r["path"]: r for r in licenses.scan(df, licenses.fit(df), ["path"]).collect()}
+    for k, (name, *_) in enumerate(wrapped):
+        assert got[f"f{k}/short.py"]["declared"] == got[f"f{k}/long.py"]["declared"] == name
+        assert got[f"f{k}/short.py"]["cosine"] == pytest.approx(1) and got[f"f{k}/long.py"]["cosine"] == pytest.approx(1)
+
+
+def test_licence_cosines_against_plain_version(spark):
+    """Best cosine over lines and runs of lines, with dictionaries."""
+    rng = random.Random(9)
+    vocab = " ".join(t for _, t in licenses.TEMPLATES).split() + [f"other{k}" for k in range(40)]
+    texts = ["\n".join(" ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 12))) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    texts += ["\n".join(t.split()) for _, t in licenses.TEMPLATES[::3]]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, text string")
+    got = {r["path"]: r["cosine"] for r in licenses.scan(df, licenses.fit(df), ["path"]).collect()}
+    word = re.compile(r"[a-z0-9]+")
+    templates = [word.findall(t.lower()) for _, t in licenses.TEMPLATES]
+    known = {w for t in templates for w in t}
+    held = [set(word.findall(t.lower())) for t in texts]
+    idf = {w: np.log((len(texts) + 1) / (sum(w in h for h in held) + 1)) + 1 for w in known}
+    other = np.log(len(texts) + 1) + 1
+
+    def cosine(own, template):
+        a, b = {w: own.count(w) * idf[w] for w in set(own) & known}, {w: template.count(w) * idf[w] for w in set(template)}
+        norm = np.sqrt(sum(x * x for x in a.values()) + sum(w not in known for w in own) * other**2) * np.sqrt(sum(x * x for x in b.values()))
+        return sum(a[w] * b[w] for w in set(a) & set(b)) / norm if norm else 0.0
+
+    for k, t in enumerate(texts):
+        lines = [word.findall(x) for x in t.lower().split("\n")]
+        best = 0.0
+        for i in range(len(lines)):
+            units = [lines[i]]
+            for length in licenses.RUNS:
+                run: list = []
+                for own in lines[i:]:
+                    run = run + own
+                    if len(run) >= length:
+                        break
+                units.append(run)
+            best = max([best, *(cosine(u, x) for u in units for x in templates)])
+        assert got[str(k)] == pytest.approx(best, abs=1e-9) if best >= licenses.THRESHOLD else got[str(k)] < licenses.THRESHOLD
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_nearest_ancestor_against_plain_walk(spark, monkeypatch, few):
+    monkeypatch.setattr(licenses, "FEW_DIRS", few)
+    rng = random.Random(3)
+    paths = ["/".join(rng.choice("abc") for _ in range(rng.randrange(0, 5))) for _ in range(60)]
+    rows = [(f"{p}/LICENSE" if p else "LICENSE", rng.choice(licenses.TEMPLATES)[1]) if k % 5 == 0 else (f"{p}/x{k}.py" if p else f"x{k}.py", "code") for k, p in enumerate(paths)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    given: dict = {}
+    for r in licenses.scan(df, licenses.fit(df), ["path"]).collect():
+        if r["declared"]:
+            d = r["path"].rpartition("/")[0]
+            given[d] = min(given.get(d, (0, "", "")), (-r["cosine"], r["path"], r["declared"]))
+    for r in licenses.inherit(licenses.scan(df, licenses.fit(df), ["path"])).collect():
+        if not r["declared"]:
+            d = r["path"].rpartition("/")[0]
+            while d and d not in given:
+                d = d.rpartition("/")[0]
+            assert (r["license"], r["license_from"]) == ((given[d][2], d) if d in given else (None, None))
