@@ -23,32 +23,44 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents predicted toxic; learns from the labelled ones among docs."""
+    """Drops documents predicted toxic; learns from the labelled ones among docs.
+
+    Null and empty texts are scored as such and stay, repeated rows are judged each, an empty table stays empty.
+    Without labels of both classes, the labels' mean decides.
+    """
     model = toxicity.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"), ~in_fold("doc_id", 3, 1))
-    return toxicity.score(docs, model, docs.columns).filter("predicted = 0").select(*docs.columns)
+    return toxicity.keep_clean(docs, model)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters, and those in which no learned language reaches MIN_SHARE."""
+    """Drops documents without letters (null and empty texts too), and those in which no learned language reaches MIN_SHARE.
+
+    Rows with a null id are judged but not learned from. If nothing was learned, every row goes.
+    """
     model = language_id.fit(docs, F.col("doc_id").isNotNull() & ~in_fold("doc_id", 4, 2))
-    scored = language_id.predict(docs, model, docs.columns)
-    return scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE)).select(*docs.columns)
+    return language_id.keep_dominated(docs, model, MIN_SHARE)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies; of repeated ids, each row."""
+    """Keeps the document with the smallest id of each group of near copies; of repeated ids, each row.
+
+    Rows with a null id, and rows without words, aren't copies of anything and stay.
+    """
     found = jaccard_join.jaccard_components(docs)
     kept = found.filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a copy of a benchmark item, edited ones included."""
+    """Drops documents that hold a copy of a benchmark item, edited ones included.
+
+    Null and empty texts hold none and stay; null items match nothing.
+    """
     return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left, packed into sequences."""
+    """Pieces of what is left, packed into sequences; a null text is an empty document of one end token."""
     return packing.pack(docs, TOKENIZER)
 
 
