@@ -216,6 +216,19 @@ def brute_nearest(rows, queries, k):
     return out
 
 
+@pytest.mark.parametrize("between", [None, 9, 7])
+def test_components_through_rows_without_an_id_or_with_a_repeated_one(docs, between):
+    """A and C are linked by B only, whatever B's id is."""
+    longer = [f"w{k}" for k in range(60)]
+    texts = [" ".join(longer[:50]), " ".join(longer[5:55]), " ".join(longer[10:])]
+    near = [100 * len(shingle_set(texts[a]) & shingle_set(texts[b])) >= 75 * len(shingle_set(texts[a]) | shingle_set(texts[b])) for a, b in ((0, 1), (1, 2), (0, 2))]
+    assert near == [True, True, False]
+    df = docs([(3, texts[0]), (between, texts[1]), (7, texts[2]), (3, "other words of a repeated id here"), (None, None), (None, "alone without an id"), (7, "")])
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df.withColumn("sid", F.lit("clash"))).collect()}
+    assert {c for i, n, c in got if n == 46} == {3}
+    assert (None, 0, None) in got and (None, 1, None) in got and (7, 0, 7) in got and (3, 3, 3) in got
+
+
 @pytest.mark.parametrize("copies", [0, 700])
 def test_neighbours_against_brute_force(spark, copies):
     rng = np.random.default_rng(7)

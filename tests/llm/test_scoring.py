@@ -132,17 +132,17 @@ def test_model_is_a_distribution_over_next_words():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(1, 2**63, 30, dtype=np.uint64))
     code = context_mixing.make_code(keys, np.arange(1, len(keys) + 1), 2000, np.ones(256, int))
-    tables = [rng.integers(0, 1 << 12, 1 << b).astype(np.uint16) for b in context_mixing.SIZES]
+    tables = [rng.integers(0, 1 << 12, 1 << b).astype(np.uint16) for b in code.sizes]
     mixer = context_mixing.Mixer(rate=0.001)
     terms = mixer.terms(0)
     total = 0.0
     begin, length, node, bit = code.word
     for symbol in range(len(code.counts)):
         own = slice(begin[symbol], begin[symbol] + length[symbol])
-        slots = [context_mixing._slots(np.full(length[symbol], 77, np.uint32), node[own], b) for b in context_mixing.WORD_TABLES]
-        b = context_mixing.Bits(np.zeros(length[symbol], np.int32), bit[own], slots, 0)
+        slots = [context_mixing._slots(np.full(length[symbol], 77, np.uint32), node[own], b) for b in code.word_bits]
+        b = context_mixing.Bits(np.zeros(length[symbol], np.int32), bit[own], slots, 0, np.zeros(1, int))
         v, gate = mixer.states(tables, b)
-        total += 2.0 ** float(np.sum(context_mixing._log2(mixer.refine(mixer.mix(v, gate, terms), gate, 0), b.bit.astype(np.float32), b.doc, 0.001)))
+        total += 2.0 ** float(np.sum(context_mixing._log2(mixer.refine(mixer.mix(v, gate, terms), gate, 0), b.bit.astype(np.float32), b.start, 0.001)))
     assert total == pytest.approx(1, abs=1e-4)
 
 
@@ -163,13 +163,80 @@ def test_mixing_query_against_brute_force(spark, big):
     assert sum(r["score"] for r in kept) > sum(r["base_score"] for r in kept)
 
 
+def plain_successors(tokens):
+    """(context, (successor, state)), and misses and hits of each token under the counts of all the others."""
+    seen: dict = {}
+    for ctx, x in tokens:
+        seen.setdefault(ctx, Counter())[x] += 1
+
+    def best(own):
+        coded = [(-n, x) for x, n in own.items() if x and n]
+        return (min(coded)[1], -min(coded)[0]) if coded else (None, 0)
+
+    hits = np.zeros((2, context_mixing.SURE), int)
+    for ctx, x in tokens:
+        own = Counter(seen[ctx])
+        top = best(own)[0]
+        own[x] -= 1
+        successor, right = best(own)
+        if successor:
+            same = top if own[top] == right else successor  # of equal ones, the one that leads with it counted stays
+            hits[int(x == same), context_mixing._pair_state(np.array([right]), np.array([own.total()]))[0]] += 1
+    table = {ctx: (best(own)[0], int(context_mixing._pair_state(np.array([best(own)[1]]), np.array([own.total()]))[0])) for ctx, own in seen.items() if best(own)[0]}
+    return table, hits
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_successors_against_plain_counts(seed):
+    rng = random.Random(seed)
+    tokens = [(rng.randrange(1, 30), int(rng.paretovariate(0.8)) % 9) for _ in range(400)]
+    pairs = Counter(tokens)
+    keys, states, hits = context_mixing._successors(np.array([c << 16 | x for c, x in pairs], np.uint64), np.array(list(pairs.values()), np.uint32))
+    table, want = plain_successors(tokens)
+    assert {int(k) >> 16: (int(k) & 0xFFFF, int(v)) for k, v in zip(keys, states, strict=True)} == table
+    assert (hits == want).all()
+
+
+def test_mixing_scores_dont_depend_on_partitions_or_neighbours(spark, docs):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "of", "and", f"w{rng.randrange(300)}", f"rare{rng.randrange(10**6)}"]) for _ in range(rng.randrange(1, 3000))) for _ in range(40)] + ["word " * 50_000, "word " * 90_000]
+    df = docs(texts).withColumn("held_out", F.col("doc_id") % 5 == 1)
+    train = df.filter("not held_out")
+    counts = context_mixing.count_tokens(train)
+    model, pairs = context_mixing.fit(train, counts)
+    want = {r["doc_id"]: r for r in context_mixing.score_documents(df, model, counts, pairs).collect()}
+    for other in (df.repartition(7, "text"), df.orderBy(F.desc("doc_id")).coalesce(1), df.filter("doc_id in (3, 41)")):
+        for r in context_mixing.score_documents(other, model, counts, pairs).collect():
+            assert r["score"] == pytest.approx(want[r["doc_id"]]["score"], rel=1e-12) and r["base_score"] == pytest.approx(want[r["doc_id"]]["base_score"], rel=1e-12)
+    for k, r in want.items():
+        assert r["bits_per_byte"] == pytest.approx(-r["score"] * math.log2(10) / len(texts[k].encode()))
+
+
+def test_a_copy_of_a_training_text_costs_less(spark, docs):
+    """What the model gathers of a text seen twice is in its score."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(200)) for _ in range(200)]
+    df = docs([*texts[:150], *texts[100:]]).withColumn("held_out", F.col("doc_id") >= 150)
+    train = df.filter("not held_out")
+    counts = context_mixing.count_tokens(train)
+    model, pairs = context_mixing.fit(train, counts)
+    rows = {r["doc_id"]: r["score"] for r in context_mixing.score_documents(df, model, counts, pairs).collect() if r["held_out"]}
+    copies, others = [rows[k] for k in range(150, 200)], [rows[k] for k in range(200, 250)]
+    assert max(others) < min(copies)
+
+
 def test_mixing_odd_rows(spark, docs, awkward):
-    df = docs(awkward).withColumn("held_out", F.lit(False))
+    def given(df, counts):
+        model, pairs = context_mixing.fit(df, counts)
+        return model, counts, pairs
+
+    df = docs(awkward).withColumn("held_out", F.lit(False)).withColumn("keys", F.lit("clash"))
+    df = df.union(df.filter("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
     counts = context_mixing.count_tokens(df)
-    got = {r["doc_id"]: r for r in context_mixing.score_documents(df, context_mixing.fit(df, counts), counts).collect()}
-    assert len(got) == len(awkward) and got[0]["n_tokens"] == got[1]["n_tokens"] == 1 and got[5]["score"] == got[6]["score"]
+    got = {r["doc_id"]: r for r in context_mixing.score_documents(df, *given(df, counts)).collect()}
+    assert len(got) == len(awkward) + 1 and got[None]["score"] == got[5]["score"] and got[0]["n_tokens"] == got[1]["n_tokens"] == 1 and got[5]["score"] == got[6]["score"]
     none = df.limit(0)
     counts = context_mixing.count_tokens(none)
-    model = context_mixing.fit(none, counts)
-    assert context_mixing.score_documents(none, model, counts).count() == 0
-    assert all(abs(r["base_score"]) < 1e-6 for r in context_mixing.score_documents(df, model, counts).collect())
+    model = given(none, counts)
+    assert context_mixing.score_documents(none, *model).count() == 0
+    assert all(abs(r["base_score"]) < 1e-6 for r in context_mixing.score_documents(df, *model).collect())
