@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.sources.scratch import materialise
+
 
 def undrawn(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """Calls (src, dst, path, line) without an edge of type calls between their ends yet, one row per site."""
@@ -92,3 +94,60 @@ def blind_spots(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataF
     out = files.join(lines, "path", "left").select("path", "lines", F.when(F.col("captured"), F.coalesce("k", F.lit(0))).otherwise(F.col("lines")).cast("long").alias("uncaptured"))
     share = out.agg(F.round(F.try_divide(F.sum("uncaptured"), F.sum("lines")), 4).alias("fraction"))
     return out.join(F.broadcast(share), how="cross")
+
+
+def class_calls(calls: DataFrame, classmethods: DataFrame, symbols: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``cls(...)`` in a classmethod's own body calls its class: the new edges (src, dst, path, line), and how many sites weren't drawn and why.
+
+    calls: (module, path, scope, callee, line); classmethods: (module, qualname, first, last, owner).
+    """
+    spans = classmethods.withColumnRenamed("qualname", "scope")
+    sites = calls.filter("callee = 'cls'").join(spans, ["module", "scope"]).filter("line between first and last")
+    sites = sites.groupBy("module", "path", "scope", "line").agg(F.min_by("owner", "first").alias("owner"))
+    rows = sites.select(F.concat_ws(".", "module", "scope").alias("src"), F.concat_ws(".", "module", "owner").alias("dst"), "path", "line")
+    ids = symbols.select("id").distinct()
+    known = rows.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "path", "line")
+    drawn = undrawn(known, edges).select("src", "dst", "path", "line")
+    left = rows.join(known, ["src", "dst", "path", "line"], "left_anti").select(F.lit("no-class-symbol").alias("why")).union(known.join(drawn, ["src", "dst", "path", "line"], "left_anti").select(F.lit("already-drawn")))
+    return drawn, left.groupBy("why").agg(F.count("*").alias("n"))
+
+
+def factory_calls(sites: DataFrame, factories: DataFrame, edges: DataFrame) -> DataFrame:
+    """Decorator factories applied with arguments call what they return: sites (src, factory, path, line, args) and factories (factory, guard, dst).
+
+    A guard is the argument that must be given for the return to be taken; null takes any. One answer only.
+    """
+    hit = sites.join(factories, "factory").filter(F.col("guard").isNull() | F.array_contains("args", F.col("guard")))
+    return undrawn(one_answer(hit, ["src", "path", "line"]).select("src", "dst", "path", "line"), edges)
+
+
+def value_calls(uses: DataFrame, injections: DataFrame, methods: DataFrame, bases: DataFrame, edges: DataFrame, most: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Calls (src, param, method, path, line) on an injected parameter run the method of its value's class, or of the nearest base in a chain of single bases.
+
+    injections: (src, param, class); methods: (class, name, id); bases: (class,
+    base). Sites with several classes, a fork among the bases, or no such method
+    are counted by reason.
+    """
+    typed = uses.join(injections.select("src", "param", "class").distinct(), ["src", "param"])
+    one = one_answer(typed, ["src", "path", "line", "method"], "class")
+    forks = bases.groupBy("class").agg(F.count_distinct("base").alias("n"), F.min("base").alias("base"))
+    front, found, forked = one.select("src", "path", "line", "method", "class"), None, None
+    key = ["src", "path", "line", "method"]
+    for _ in range(most):  # a chain of bases is short
+        front = materialise(front, "chain")
+        if not front.limit(1).count():
+            break
+        hit = front.join(methods.select("class", F.col("name").alias("method"), F.col("id").alias("dst")), ["class", "method"]).select("src", "dst", "path", "line", "method")
+        found = hit if found is None else found.union(hit)
+        up = front.join(hit.select(*key).distinct(), key, "left_anti").join(forks, "class", "left")
+        fork = up.filter("n > 1").select(*key)
+        forked = fork if forked is None else forked.union(fork)
+        front = up.filter("n = 1").select(*key, F.col("base").alias("class"))
+    if found is None:
+        found, forked = one.select("src", F.lit("").alias("dst"), "path", "line", "method").limit(0), one.select(*key).limit(0)
+    every = typed.select(*key).distinct()
+    why = (
+        every.join(one.select(*key).distinct(), key, "left_anti").select(F.lit("several-classes").alias("why")).union(forked.select(F.lit("forked-bases")))
+        .union(one.select(*key).distinct().join(found.select(*key).distinct(), key, "left_anti").join(forked, key, "left_anti").select(F.lit("no-method")))
+    )
+    return undrawn(found.select("src", "dst", "path", "line"), edges), why.groupBy("why").agg(F.count("*").alias("n"))

@@ -61,30 +61,84 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return start.select("seed", F.col("seed").alias("id"), F.lit(0).alias("hops")).unionByName(away)
 
 
+def _spread(best: DataFrame, step: DataFrame) -> DataFrame:
+    """(id, colour): the greatest colour that reaches each node along step (src, dst), itself included."""
+    while True:
+        near = step.join(best.withColumnsRenamed({"id": "src", "colour": "c"}), "src").groupBy(F.col("dst").alias("id")).agg(F.max("c").alias("c"))
+        new = materialise(best.join(near, "id", "left").select("id", F.greatest("colour", "c").alias("colour"), (F.col("c") > F.col("colour")).alias("moved")), "colours")
+        best = new.drop("moved")
+        if not new.filter("moved").limit(1).count():
+            return best
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): strongly connected components, named by their least node.
 
-    Two nodes are in one component if each reaches the other.
+    Nodes without an edge in or out are trimmed. Of the rest, the greatest id
+    that reaches a node is its colour; the nodes that reach back to their
+    colour's node within it are its component and leave. All tables hold a row
+    for each node or edge at most, and are materialised each round.
     """
-    ids = edges.select(F.col("src").alias("seed")).union(edges.select("dst")).distinct()
-    reach = closure(edges, ids)
-    back = reach.select(F.col("seed").alias("id"), F.col("id").alias("seed"))
-    mutual = reach.select("seed", "id").join(back, ["seed", "id"])
-    least = mutual.groupBy(F.col("seed").alias("id")).agg(F.min("id").alias("component"))
-    return ids.withColumnRenamed("seed", "id").join(least, "id", "left").select("id", F.least("id", F.coalesce("component", "id")).alias("component"))
+    nodes = materialise(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "nodes")
+    step = materialise(edges.filter("src <> dst").select("src", "dst").distinct(), "steps")
+    found = None
+    while nodes.limit(1).count():
+        inner = nodes.join(step.select(F.col("src").alias("id")).distinct(), "id", "left_semi").join(step.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+        colour = _spread(materialise(inner.withColumn("colour", F.col("id")), "colours"), step.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+        c = lambda end: colour.withColumnsRenamed({"id": end, "colour": f"{end}_colour"})
+        back = materialise(step.join(c("src"), "src").join(c("dst"), "dst").filter("src_colour = dst_colour").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
+        done = _reached(colour.filter("id = colour"), back)
+        out = nodes.join(colour, "id", "left_anti").select("id", F.col("id").alias("colour")).unionByName(done)
+        found = out if found is None else found.unionByName(out)
+        nodes = materialise(nodes.join(out, "id", "left_anti"), "nodes")
+        step = materialise(step.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi"), "steps")
+    if found is None:
+        return nodes.withColumn("component", F.col("id"))
+    least = found.groupBy("colour").agg(F.min("id").alias("component"))
+    return materialise(found.join(least, "colour").select("id", "component"), "components")
+
+
+def _reached(start: DataFrame, step: DataFrame) -> DataFrame:
+    """(id, colour) of start and of all that step leads to from there."""
+    seen, front = start, start
+    while True:
+        new = front.join(step.withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id"), "colour").distinct().join(seen.select("id"), "id", "left_anti")
+        front = materialise(new, "front")
+        if not front.limit(1).count():
+            return seen
+        seen = seen.unionByName(front)
+
+
+def connected(pairs: DataFrame) -> DataFrame:
+    """(id, family): connected components of undirected (a, b), named by their least node, by least labels and pointer jumps."""
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    label = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("family")), "families")
+    while True:
+        near = both.join(label.withColumnsRenamed({"id": "b", "family": "f"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("f").alias("f"))
+        step = label.join(near, "id").select("id", F.least("family", "f").alias("family"), F.col("family").alias("was"))
+        jump = step.select(F.col("id").alias("family"), F.col("family").alias("further"))
+        new = materialise(step.join(jump, "family", "left").select("id", F.least("family", "further").alias("family"), (F.least("family", "further") < F.col("was")).alias("moved")), "families")
+        label = new.drop("moved")
+        if not new.filter("moved").limit(1).count():
+            return label
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """(id, level) of a graph without cycles: 0 for nodes without dependencies, else one above the highest dependency."""
-    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    level = materialise(ids.withColumn("level", F.lit(0)), "levels")
-    step = edges.filter("src <> dst").select("src", "dst").distinct()
+    """(id, level): 0 for nodes that depend on nothing outside their component, else one above the highest dependency.
+
+    Cycles are condensed first, so every node of one has the same level and the
+    rounds, as many as the longest chain, end.
+    """
+    comp = components(edges)
+    c = lambda end: comp.withColumnsRenamed({"id": end, "component": f"{end}_c"})
+    step = materialise(edges.join(c("src"), "src").join(c("dst"), "dst").filter("src_c <> dst_c").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).distinct(), "steps")
+    level = materialise(comp.select(F.col("component").alias("id")).distinct().withColumn("level", F.lit(0)), "levels")
     while True:
-        up = step.join(level.withColumnsRenamed({"id": "dst"}), "dst").groupBy(F.col("src").alias("id")).agg((F.max("level") + 1).alias("up"))
+        up = step.join(level.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg((F.max("level") + 1).alias("up"))
         new = materialise(level.join(up, "id", "left").select("id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), (F.coalesce("up", F.lit(0)) > F.col("level")).alias("moved")), "levels")
         level = new.drop("moved")
         if not new.filter("moved").limit(1).count():
-            return level
+            return comp.join(level.withColumnRenamed("id", "component"), "component").select("id", "level")
 
 
 def edge_factor() -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.operators.graph import edge_factor
+from evigraph.sources.scratch import materialise
 
 # Sizes of commits that count, and how co-change scales coupling.
 LEAST_FILES, MOST_FILES, FULL = 2, 50, 8
@@ -79,14 +80,42 @@ def merge_units(weights: list[tuple[str, int]], couplings: list[tuple[str, str,
     return {m: min(members) for members in unit.values() for m in members}
 
 
-def greedy_cover(sets: dict[str, set[str]]) -> list[str]:
-    """Inputs that cover all faults, each time the one with most uncovered; ties to the shorter, then by order."""
-    left, out = set().union(*sets.values()) if sets else set(), []
-    while left:
-        best = min(sets, key=lambda k: (-len(sets[k] & left), len(k), k))
-        out.append(best)
-        left -= sets[best]
-    return out
+def greedy_cover(catches: DataFrame) -> DataFrame:
+    """(input, round, covers): inputs that together catch every fault of catches (input, fault).
+
+    A round counts each input's faults that are still open and takes the largest
+    count, then the shorter input, then the lesser. Rounds are as many as the
+    cover has inputs; only the pick reaches the driver.
+    """
+    left = materialise(catches.select("input", "fault").distinct(), "open")
+    picks, n = [], 0
+    while True:
+        best = left.groupBy("input").agg(F.count("*").alias("covers")).orderBy(F.desc("covers"), F.length("input"), "input").limit(1).collect()
+        if not best:
+            return catches.sparkSession.createDataFrame(picks, "input string, round int, covers long")
+        n += 1
+        picks.append((best[0]["input"], n, best[0]["covers"]))
+        caught = left.filter(F.col("input") == best[0]["input"]).select("fault")
+        left = materialise(left.join(caught, "fault", "left_anti"), "open")
+
+
+def redundant_cases(kills: DataFrame) -> DataFrame:
+    """Cases of kills (case, fault) that can all go with every fault still caught, those that catch least going first.
+
+    A case that alone catches some fault stays. Of the others, rounds take the
+    first in order, and its faults lose one catcher.
+    """
+    left = materialise(kills.select("case", "fault").distinct(), "kills")
+    size = materialise(left.groupBy("case").agg(F.count("*").alias("size")), "sizes")
+    gone, n = [], 0
+    while True:
+        sole = left.groupBy("fault").agg(F.count("*").alias("n"), F.min("case").alias("case")).filter("n = 1").select("case")
+        first = size.join(left.select("case").distinct(), "case", "left_semi").join(sole, "case", "left_anti").orderBy("size", "case").limit(1).collect()
+        if not first:
+            return kills.sparkSession.createDataFrame(gone, "case string, round int")
+        n += 1
+        gone.append((first[0]["case"], n))
+        left = materialise(left.filter(F.col("case") != first[0]["case"]), "kills")
 
 
 def waves(entries: DataFrame, by: list[str], order: list[str]) -> DataFrame:

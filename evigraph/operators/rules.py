@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,24 +87,34 @@ def most_restrictive(segments: DataFrame) -> DataFrame:
     return top.select("command", F.when(F.col("r") == 3, "deny").when(F.col("r") == 2, "escalate").otherwise("allow").alias("decision"))
 
 
-def split_segments(command: str) -> list[str]:
-    """Segments at ``&&``, ``||``, ``;`` and ``|`` outside quotes; one segment if the quotes don't close."""
-    out, own, quote, k = [], "", "", 0
-    while k < len(command):
-        c = command[k]
-        if quote:
-            own += c
-            quote = "" if c == quote else quote
-        elif c in "'\"":
-            own, quote = own + c, c
-        elif command[k : k + 2] in ("&&", "||"):
-            out.append(own)
-            own = ""
-            k += 1
-        elif c in ";|\n":
-            out.append(own)
-            own = ""
+_PIECES = re.compile(r"""\\.|'[^']*'|"[^"]*"|(?P<cut>&&|\|\||[;|])|(?P<open>['"])|[^\\'"&|;]+|.""", re.S)
+_ASSIGNMENT = re.compile(r"""[ \t]*[A-Za-z_][A-Za-z0-9_]*=(?:'[^']*'|"[^"]*"|[^ \t'"])*(?=[ \t]|$)""")
+
+
+def split_segments(command: str) -> list[str] | None:
+    """Segments at ``&&``, ``||``, ``;`` and ``|`` outside quotes; None if a quote stays open.
+
+    Outside quotes, a backslash takes the next character's meaning away.
+    """
+    out = [""]
+    for m in _PIECES.finditer(command):
+        if m["open"]:
+            return None
+        if m["cut"]:
+            out.append("")
         else:
-            own += c
-        k += 1
-    return [command] if quote else [s.strip() for s in [*out, own] if s.strip()]
+            out[-1] += m[0]
+    return [s.strip() for s in out if s.strip()]
+
+
+def without_assignments(segment: str) -> str:
+    """The segment without the assignments that lead it, which the policy doesn't see."""
+    while m := _ASSIGNMENT.match(segment):
+        segment = segment[m.end() :]
+    return segment.strip()
+
+
+def is_neutral(segment: str) -> bool:
+    """Whether a segment runs nothing that a policy governs: nothing, a no-op, or a change of directory."""
+    own = without_assignments(segment)
+    return own in ("", "true", ":") or own.split()[0] == "cd"

@@ -86,11 +86,6 @@ def impact_expand(spark, d):
     return graph.propagate(domain.module_edges(spark, d), seeds).select("id", F.round("score", 6).alias("score"))
 
 
-@query("impact_modules_top8", f"""{WITH}, w AS (SELECT src AS id, count(*) AS n FROM calls GROUP BY src) SELECT id, n FROM w ORDER BY n DESC, id LIMIT 8""")
-def impact_modules_top8(spark, d):
-    return domain.calls(spark, d).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(8)
-
-
 @query("module_projection", f"{WITH}, own AS (SELECT c.src AS a, 'brand:' || p.p_brand AS b FROM (SELECT DISTINCT src, dst FROM calls) c JOIN part p ON 'part:' || p.p_partkey = c.dst) SELECT a, b FROM own UNION SELECT b, a FROM own")
 def module_projection(spark, d):
     owner = table(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey")).alias("id"), F.concat(F.lit("brand:"), F.col("p_brand")).alias("module"))
@@ -147,32 +142,12 @@ def guard_lookup(spark, d):
     return domain.calls(spark, d).join(p, "dst").select(F.col("src").alias("test"), "module").distinct()
 
 
-@query("value_only", f"{WITH} SELECT id FROM nodes n WHERE kind = 'part' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.dst = n.id AND c.tier = 'semantic' AND c.line = 1)")
-def value_only(spark, d):
-    called = domain.calls(spark, d).filter("tier = 'semantic' and line = 1").select(F.col("dst").alias("id"))
-    return domain.nodes(spark, d).filter("kind = 'part'").join(called, "id", "left_anti").select("id")
-
-
 @query("reach_kinds", f"{WITH} SELECT dst AS id, bool_or(tier = 'semantic') AS by_call, bool_or(tier = 'dynamic') AS by_fixture, NOT bool_or(tier = 'semantic') AND bool_or(tier = 'dynamic') AS only_fixture FROM calls GROUP BY dst")
 def reach_kinds(spark, d):
     sem, dyn = F.bool_or(F.col("tier") == "semantic"), F.bool_or(F.col("tier") == "dynamic")
     return domain.calls(spark, d).groupBy(F.col("dst").alias("id")).agg(sem.alias("by_call"), dyn.alias("by_fixture"), (~sem & dyn).alias("only_fixture"))
 
 
-@query("test_reach_labels", f"{WITH}, r AS (SELECT src AS seed, dst AS id FROM medges WHERE src LIKE 'customer:%' UNION SELECT r.seed, e.dst FROM r JOIN medges e ON e.src = r.id) SELECT seed, count(*) AS reaches, count(*) FILTER (WHERE id LIKE 'region:%') AS modules, string_agg(id, ',' ORDER BY id) AS ids FROM r GROUP BY seed")
-def test_reach_labels(spark, d):
-    e = domain.module_edges(spark, d)
-    reach = graph.closure(e, e.filter(F.col("src").startswith("customer:")).select(F.col("src").alias("seed")).distinct())
-    return reach.groupBy("seed").agg(F.count("*").alias("reaches"), F.count_if(F.col("id").startswith("region:")).alias("modules"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
-
-
-@query("test_index", f"{WITH}, t AS (SELECT DISTINCT src, dst FROM calls WHERE tier = 'semantic') SELECT n.id, count(t.src) AS tests, count(t.src) = 0 AS unguarded FROM nodes n LEFT JOIN t ON t.dst = n.id WHERE n.kind = 'part' GROUP BY n.id")
-def test_index(spark, d):
-    t = domain.calls(spark, d).filter("tier = 'semantic'").select("src", F.col("dst").alias("id")).distinct().groupBy("id").agg(F.count("*").alias("tests"))
-    out = domain.nodes(spark, d).filter("kind = 'part'").join(t, "id", "left").withColumn("tests", F.coalesce("tests", F.lit(0)))
-    return out.select("id", "tests", (F.col("tests") == 0).alias("unguarded"))
-
-
 @query("instability_roles", f"{WITH}, f AS (SELECT src AS id, count(DISTINCT dst) AS uses FROM medges GROUP BY src), g AS (SELECT dst AS id, count(DISTINCT src) AS users FROM medges GROUP BY dst), j AS (SELECT coalesce(f.id, g.id) AS id, coalesce(uses, 0) AS uses, coalesce(users, 0) AS users FROM f FULL JOIN g ON f.id = g.id) SELECT id, uses, users, CASE WHEN uses / (uses + users) < 1 / 3 THEN 'base' WHEN uses / (uses + users) > 2 / 3 THEN 'entry' ELSE 'middle' END AS role FROM j")
 def instability_roles(spark, d):
     e = domain.module_edges(spark, d)
@@ -182,24 +157,6 @@ def instability_roles(spark, d):
     return j.withColumn("role", F.when(share < 1 / 3, "base").when(share > 2 / 3, "entry").otherwise("middle"))
 
 
-@query("shared_percentile", f"{WITH}, f AS (SELECT dst AS id, count(DISTINCT src) AS fan_in FROM calls GROUP BY dst), c AS (SELECT fan_in, row_number() OVER (ORDER BY fan_in) AS r, count(*) OVER () AS n FROM f) SELECT id, fan_in FROM f WHERE fan_in >= greatest((SELECT min(fan_in) FROM c WHERE r = (n * 95) // 100 + 1), 3)")
-def shared_percentile(spark, d):
-    """Nearest-rank percentile from counts by value, without a global sort of the nodes."""
-    from pyspark.sql import Window
-
-    f = domain.calls(spark, d).groupBy(F.col("dst").alias("id")).agg(F.count_distinct("src").alias("fan_in"))
-    by = f.groupBy("fan_in").agg(F.count("*").alias("n"))
-    run = by.withColumn("upto", F.sum("n").over(Window.orderBy("fan_in"))).crossJoin(F.broadcast(by.agg(F.sum("n").alias("total"))))  # one row per value
-    cut = run.filter("upto >= total * 95 div 100 + 1").agg(F.greatest(F.min("fan_in"), F.lit(3)).alias("cut"))
-    return f.join(F.broadcast(cut), F.col("fan_in") >= F.col("cut")).select("id", "fan_in")
-
-
-@query("view_edge_rollup", f"{WITH} SELECT split_part(src, ':', 1) AS a, split_part(dst, ':', 1) AS b, type, count(*) AS n, min(src || '>' || dst) AS sample FROM medges GROUP BY ALL")
-def view_edge_rollup(spark, d):
-    head = lambda c: F.split_part(F.col(c), F.lit(":"), F.lit(1))
-    return domain.module_edges(spark, d).groupBy(head("src").alias("a"), head("dst").alias("b"), "type").agg(F.count("*").alias("n"), F.min(F.concat("src", F.lit(">"), "dst")).alias("sample"))
-
-
 @query("visible_subgraph", f"{WITH}, v AS (SELECT id FROM nodes WHERE kind IN ('nation', 'supplier')) SELECT DISTINCT src, type, dst FROM medges WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
 def visible_subgraph(spark, d):
     v = domain.nodes(spark, d).filter(F.col("kind").isin("nation", "supplier")).select("id")

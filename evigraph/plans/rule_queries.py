@@ -72,18 +72,17 @@ def glob_match(spark, d):
     return t.join(F.broadcast(g), rules.glob_matches(F.col("pattern"), F.col("text"))).select("pattern", "text")
 
 
-@query("compound_policy")
+@query("compound_policy", f"WITH {POLICY_SQL}, c AS (SELECT DISTINCT p_type || ' && cd x' AS command, p_type AS own FROM part) SELECT command, CASE WHEN own LIKE 'S%' THEN 'deny' WHEN own LIKE '%BRASS' THEN 'escalate' WHEN own LIKE '%E%' THEN 'allow' ELSE 'escalate' END AS decision FROM c")
 def compound_policy(spark, d):
     """Compound commands split outside quotes by a table function, then the most restrictive decision."""
     from evigraph.functions.tables import Segments
 
-    cmds = _commands(spark, d).select(F.concat("command", F.lit(" && echo 'a;b' ; cd x")).alias("command"))
-    segs = cmds.lateralJoin(Segments(F.col("command").outer()).select("segment"))
-    neutral = F.col("segment").rlike("^cd( |$)")
-    policy = spark.createDataFrame(POLICY, POLICY_SCHEMA)
+    cmds = table(spark, d, "part").select(F.concat("p_type", F.lit(" && cd x")).alias("command")).distinct()
+    segs = cmds.lateralJoin(Segments(F.col("command").outer()).select("segment", "neutral"))
+    policy = spark.createDataFrame([(0, 0, "builtin", "S*", "deny", ""), (1, 0, "repo", "*BRASS", "escalate", ""), (1, 1, "repo", "*E*", "allow", "")], POLICY_SCHEMA)
     defaults = spark.createDataFrame([(0, "builtin", "escalate")], "specificity int, source string, decision string")
     judged = rules.resolve_policy(segs.select(F.col("segment").alias("command")), policy, defaults).withColumnRenamed("command", "segment")
-    return rules.most_restrictive(segs.join(judged, "segment").withColumn("neutral", neutral))
+    return rules.most_restrictive(segs.join(judged, "segment"))
 
 
 @query("scope_prefix", f"{WITH}, s AS (SELECT unnest(['', '.', 'nation', 'nation/1', 'part/2']) AS scope) SELECT scope, count(*) AS n FROM s JOIN nodes ON scope IN ('', '.') OR path = scope OR starts_with(path, scope || '/') GROUP BY scope")

@@ -83,12 +83,6 @@ def text_search(spark, d):
     return lines.filter(F.contains(F.lower("text"), F.lit("license")))
 
 
-@query("body_hash_duplicates", "SELECT sha1(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
-def body_hash_duplicates(spark, d):
-    h = F.sha1(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    return table(spark, d, "documents").groupBy(h.alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
-
-
 @query("jaccard_nearest", "WITH w AS (SELECT DISTINCT p_name AS item_id, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z]+'), lambda x: len(x) >= 3)) AS t FROM part), p AS (SELECT a.item_id, b.item_id AS other, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS s FROM w a JOIN w b ON a.item_id <> b.item_id) SELECT item_id, arg_min(other, (-s, other)) AS nearest, floor(max(s) * 100) / 100 AS score FROM p GROUP BY item_id HAVING max(s) >= 0.2")
 def jaccard_nearest(spark, d):
     """Best Jaccard of word sets, first wins ties, at least 0.2: candidates share a word, counted by an equi-join."""
@@ -161,7 +155,6 @@ def seeded_derangement(spark, d):
 
 
 shared_sql("tool_filter_counts", ["events"], "SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS succeeded, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type NOT IN ('purchase', 'error')) AS unfinished FROM events GROUP BY user_id")
-shared_sql("median_duration", ["events"], "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY event_type")
 shared_sql("instance_selection", ["orders"], "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'id' WHEN o_orderpriority = '5-LOW' THEN 'repo' WHEN o_totalprice < 50000 THEN 'difficulty' WHEN o_orderdate IS NULL THEN 'undated' WHEN o_orderdate < TIMESTAMP '1995-01-01 00:00:00' THEN 'before-cutoff' ELSE 'kept' END AS reason FROM orders) t GROUP BY reason")
 shared_sql("depth_bucket", ["orders", "lineitem"], "SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN count(*) = 1 THEN '1' WHEN count(*) <= 3 THEN '2-3' ELSE '4+' END AS bucket FROM lineitem GROUP BY l_orderkey) t GROUP BY bucket")
 shared_sql("page_cursor", ["orders"], "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 50")
@@ -177,6 +170,5 @@ shared_sql("session_listing", ["orders"], "SELECT o_orderkey, o_custkey, o_order
 shared_sql("suspended_sessions", ["orders"], "SELECT o_orderkey FROM orders WHERE o_orderstatus IS NOT NULL AND o_orderstatus = 'P'")
 shared_sql("models_by_tokens", ["lineitem"], "SELECT l_returnflag, CAST(sum(l_orderkey) AS BIGINT) AS tokens, count(*) AS calls FROM lineitem GROUP BY l_returnflag ORDER BY tokens DESC")
 shared_sql("filled_roles", ["events"], "SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS role FROM events", "SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS role FROM events")
-shared_sql("invented_names", ["documents"], "SELECT lang AS bucket, source AS name, count(*) AS n FROM documents WHERE n_chars < 500 GROUP BY lang, source")
 shared_sql("changed_keys", ["orders"], "WITH a AS (SELECT o_custkey AS k, count(*) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey), b AS (SELECT o_custkey AS k, count(*) AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) SELECT coalesce(a.k, b.k) AS k FROM a FULL OUTER JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
 shared_sql("session_usage_totals", ["lineitem"], "SELECT l_suppkey, CAST(sum(coalesce(l_orderkey, 0)) AS BIGINT) AS tokens, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_suppkey")

@@ -27,12 +27,6 @@ def per_solved_mean(spark, d):
     return o.groupBy(F.col("o_orderpriority").alias("arm")).agg(F.count("v").alias("observed"), (F.count("*") - F.count("v")).alias("unobserved"), F.round(F.avg("v"), 4).alias("mean"))
 
 
-@query("meter_add", "SELECT o_custkey, CASE WHEN count(v) = count(*) THEN sum(v)::BIGINT END AS total FROM (SELECT o_custkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END AS v FROM orders) GROUP BY o_custkey")
-def meter_add(spark, d):
-    o = table(spark, d, "orders").withColumn("v", F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey")))
-    return o.groupBy("o_custkey").agg(stats.sum_observed(F.col("v")).alias("total"))
-
-
 @query("pass_at_k", f"WITH {REC}, c AS (SELECT source, lang, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS c FROM rec GROUP BY ALL) SELECT source, lang, CASE WHEN n >= 3 THEN round(1 - (greatest(n - c, 0) / n) * (greatest(n - c - 1, 0) / (n - 1)) * (greatest(n - c - 2, 0) / (n - 2)), 6) END AS pass3 FROM c")
 def pass_at_k(spark, d):
     c = _rec(spark, d).groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("c"))
@@ -46,12 +40,6 @@ def mcnemar(spark, d):
     return c.withColumn("p", F.round(stats.mcnemar(F.col("lost"), F.col("gained")), 6))
 
 
-@query("discordant_table", f"WITH {REC} SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS both_, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS neither, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS lost, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS gained FROM rec GROUP BY lang")
-def discordant_table(spark, d):
-    n = lambda q, t, name: F.count_if((F.col("quality") == q) & (F.col("toxic") == t)).alias(name)
-    return _rec(spark, d).groupBy("lang").agg(n(1, 1, "both_"), n(0, 0, "neither"), n(1, 0, "lost"), n(0, 1, "gained"))
-
-
 @query("sign_flip")
 def sign_flip(spark, d):
     r = _rec(spark, d).groupBy("lang", "source").agg(F.sum("quality").cast("long").alias("q"), F.sum("toxic").cast("long").alias("t"), F.count("*").alias("den"))
@@ -123,17 +111,12 @@ def udtf_split(spark, d):
     return n.select("doc_id", F.lit("seg").alias("kind"), "n").union(n.select("doc_id", F.lit("pipe"), F.lit(1)))
 
 
-shared_sql("cumulative_rounds", ["events"], "WITH f AS (SELECT user_id, min(extract(DAY FROM ts)) AS round FROM events WHERE event_type = 'purchase' GROUP BY user_id), c AS (SELECT round, count(*) AS n FROM f GROUP BY round) SELECT CAST(round AS INT) AS round, CAST(sum(n) OVER (ORDER BY round) AS BIGINT) AS passed FROM c")
-shared_sql("experiment_report", ["orders"], "WITH r AS (SELECT o_orderpriority AS arm, CASE WHEN o_custkey % 3 = 0 THEN 'x' ELSE 'y' END AS model, o_orderstatus AS status, o_totalprice AS v FROM orders) SELECT arm, model, count(*) AS n, CAST(sum(CASE WHEN status = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f, CAST(sum(CASE WHEN status = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS o, round(avg(v), 4) AS mean, round(min(v), 4) AS low, round(max(v), 4) AS high FROM r GROUP BY arm, model")
 shared_sql("separable_groups", ["orders"], "WITH a AS (SELECT o_orderpriority AS arm, avg(o_totalprice) AS m, max(o_totalprice) - min(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY o_orderpriority) SELECT x.arm AS a, y.arm AS b, abs(x.m - y.m) > greatest(x.s, y.s) AND x.n > 1 AND y.n > 1 AS separable FROM a x JOIN a y ON x.arm < y.arm")
 shared_sql("bucket_slope", ["orders"], "WITH b AS (SELECT o_orderpriority AS arm, o_orderstatus AS bucket, avg(o_totalprice) AS m FROM orders GROUP BY o_orderpriority, o_orderstatus) SELECT arm, round(max_by(m, bucket) - min_by(m, bucket), 4) AS slope FROM b GROUP BY arm")
-shared_sql("flips", ["labels"], "SELECT doc_id, CASE WHEN quality = 1 THEN 'lost' ELSE 'gained' END AS flip FROM labels WHERE quality <> toxic")
 shared_sql("density_by_module", ["documents", "labels"], "SELECT d.source AS module, CAST(sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS none_, count(*) AS total FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")
 shared_sql("tolerant_compare", ["lineitem"], "SELECT l_orderkey, l_linenumber, l_quantity, l_tax, abs(l_quantity - l_tax * 500) <= 0.5 + 0.1 * abs(l_quantity) AS close FROM lineitem")
 shared_sql("balanced_sample", ["labels"], "WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY (doc_id * 7919) % 10007, doc_id) AS k FROM labels) SELECT doc_id, quality FROM r WHERE k <= 20")
 shared_sql("most_common_tuple", ["documents"], "WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS k FROM c) SELECT lang, source, n FROM r WHERE k = 1")
 shared_sql("run_back", ["orders"], "WITH r AS (SELECT o_custkey, o_orderdate, o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END AS ok FROM orders), c AS (SELECT *, min(ok) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS held FROM r) SELECT o_custkey, count(*) AS run FROM c WHERE held = 1 GROUP BY o_custkey")
-shared_sql("planner_split", ["orders"], "SELECT o_orderpriority AS seed, count(*) AS n, round(avg(CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS DOUBLE)), 6) AS rate, round(avg(o_totalprice), 4) AS recall FROM orders GROUP BY o_orderpriority")
-shared_sql("runs_comparable", ["orders"], "SELECT o_orderstatus, count(DISTINCT o_orderpriority) = 1 AS comparable FROM orders GROUP BY o_orderstatus")
 shared_sql("multi_grain_report", ["orders"], "SELECT o_orderstatus AS arm, o_orderpriority AS kind, count(*) AS n, CAST(grouping(o_orderpriority) AS INT) AS g FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderstatus, o_orderpriority))")
 shared_sql("grid_neighbours", ["part"], "WITH c AS (SELECT DISTINCT p_brand AS a, p_size AS b FROM part WHERE p_size < 6) SELECT x.a, x.b, count(*) AS n FROM c x JOIN c y ON (x.a = y.a AND abs(x.b - y.b) = 1) OR (x.b = y.b AND x.a <> y.a) GROUP BY x.a, x.b")

@@ -97,23 +97,47 @@ def python_facts(path: str, text: str) -> Iterator[tuple]:
     yield from walk(tree, "")
 
 
+_BLANK = re.compile(r"""/\*.*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])'""", re.S)
+
+
+def _blanked(text: str) -> str:
+    """The text with comments and literals blank, line by line as long as it was."""
+    return _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def body_end(lines: list[str], start: int) -> int:
+    """The line on which the declaration at line start ends: its closing brace, its semicolon, or its own line.
+
+    The opening brace may stand on a later line, after the rest of the head.
+    """
+    depth, opened = 0, False
+    for k in range(start - 1, len(lines)):
+        for c in lines[k]:
+            if c == "{":
+                depth, opened = depth + 1, True
+            elif c == "}":
+                depth -= 1
+            elif c == ";" and not opened and depth == 0:
+                return k + 1
+            if opened and depth <= 0:
+                return k + 1
+        if not opened and k > start - 1 and not lines[k].strip():
+            return start  # a blank line before any brace: there is no body
+    return len(lines) if opened else start
+
+
 def pattern_facts(path: str, lang: str, text: str) -> Iterator[tuple]:
     rules = [(re.compile(p), kind) for p, kind in DECLARATIONS.get(lang, [])]
     imports = re.compile(IMPORTS[lang]) if lang in IMPORTS else None
     lines = text.split("\n")
+    plain = _blanked(text).split("\n")
     for n, line in enumerate(lines, 1):
         named = None
         for rule, kind in rules:
             m = rule.search(line)
             if m and m[1] not in _WORDS:
                 named = m[1].replace('" "', ".").replace('"  "', ".")
-                depth, end = 0, n
-                for k in range(n - 1, len(lines)):  # to the brace that closes it
-                    depth += lines[k].count("{") - lines[k].count("}")
-                    end = k + 1
-                    if depth <= 0:
-                        break
-                yield path, lang, kind, named, "", n, end, m.start(1), named
+                yield path, lang, kind, named, "", n, body_end(plain, n), m.start(1), named
                 break
         if imports and (m := imports.search(line)):
             yield path, lang, "import", m[1], "", n, n, m.start(1), m[1]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from evigraph.sources.scratch import materialise
+
 
 class VersionError(ValueError):
     """An artifact's schema version isn't one that the reader accepts."""
@@ -39,11 +41,18 @@ def read_instances(spark: SparkSession, path: str, schema: StructType | str, lis
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log with a line cursor: rows of schema plus ``line`` (from 1 within a file) and ``torn``.
 
-    Lines that aren't JSON stay as torn rows, so the cursor stays aligned.
+    Lines that aren't JSON stay as torn rows, so the cursor stays aligned. A long
+    log is read in splits: lines are numbered within their split, and the splits'
+    line counts, one row each, give where a split begins.
     """
-    raw = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    lines = raw.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "value")).filter(F.trim("value") != "")
-    rows = lines.select("file", (F.col("pos") + 1).cast("long").alias("line"), F.try_parse_json("value").isNull().alias("torn"), F.from_json("value", schema).alias("r"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    raw = materialise(raw, "log")
+    sizes = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("file", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    first = raw.groupBy("file", "block").agg(F.min("at").alias("first"))  # ids of a split's rows follow each other
+    lines = raw.join(F.broadcast(before.join(first, ["file", "block"])), ["file", "block"]).withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1)
+    rows = lines.filter(F.trim("value") != "").select("file", "line", F.try_parse_json("value").isNull().alias("torn"), F.from_json("value", schema).alias("r"))
     return rows.select("file", "line", "torn", "r.*")
 
 

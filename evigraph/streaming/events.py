@@ -71,13 +71,15 @@ def expiring(stream: DataFrame, deadline_ms: int = 5 * 60_000) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, status string, since long", "since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_once(stream: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
     """Run a stream over what is there into a table in the shared scratch folder, and read that back.
 
-    The checkpoint lies beside it, so a restart goes on where a lost driver stopped.
+    base names the folder for output and checkpoint: a run that is started again
+    with it goes on where the lost one stopped. Without it a new one is made.
+    In complete mode, each epoch replaces the result, and the last one is read.
     """
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
+    base = base or scratch_path(spark, name)
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     else:
@@ -86,4 +88,17 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
         q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    own = _epochs(spark, f"{base}/out")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out/epoch={max(own)}") if own else spark.createDataFrame([], stream.schema)
+
+
+def _epochs(spark: SparkSession, folder: str) -> list[int]:
+    """Epochs that were written whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    done = [s.getPath() for s in fs.listStatus(path)]
+    return [int(p.getName().partition("=")[2]) for p in done if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]

@@ -33,11 +33,36 @@ def test_scalars(spark):
 def test_table_functions(spark):
     from evigraph.functions.tables import Descriptors, DiffSections
 
-    diff = "--- a/x\n+++ b/x\n@@\n-a\n+b\n+c\n--- /dev/null\n+++ b/y\n+z"
+    diff = "\n".join([
+        "--- a/x", "+++ b/x", "@@ -1,2 +1,3 @@", "--- was a line", "+b", "+c", " same", "--- /dev/null", "+++ b/y", "@@ -0,0 +1 @@", "+z",
+        "diff --git a/g b/g", "deleted file mode 100644", "--- a/g", "+++ /dev/null", "@@ -1 +0,0 @@", "-g", "diff --git a/o b/p", "similarity index 90%", "rename from o", "rename to p",
+        "diff --git a/i.png b/i.png", "Binary files a/i.png and b/i.png differ",
+    ])
     rows = DiffSections(F.lit(diff)).collect()
-    assert [(r["path"], r["created"], r["added"], r["removed"]) for r in rows] == [("x", False, 2, 1), ("y", True, 1, 0)]
+    assert [(r["path"], r["old_path"], r["created"], r["deleted"], r["renamed"], r["binary"], r["added"], r["removed"]) for r in rows] == [
+        ("x", "x", False, False, False, False, 2, 1), ("y", "/dev/null", True, False, False, False, 1, 0), ("g", "g", False, True, False, False, 0, 1),
+        ("p", "o", False, False, True, False, 0, 0), ("i.png", "i.png", False, False, False, True, 0, 0),
+    ]
     rows = Descriptors(F.lit("scip py pkg 1 `a b`/C#m().")).collect()
     assert [(r["kind"], r["name"]) for r in rows][-2:] == [("type", "C"), ("method", "m")]
+    assert Descriptors(F.lit("local 5")).collect() == Descriptors(F.lit("scip py pkg")).collect() == []
+
+
+def test_added_lines_know_their_parents(spark):
+    from evigraph.functions.tables import AddedAnchors
+
+    hunks = "@@ -3,3 +3,4 @@\n a\n-b\n+B\n+C\n d\n@@ -0,0 +9 @@\n+new"
+    assert [tuple(r) for r in AddedAnchors(F.lit(hunks)).collect()] == [(4, "replace", 4, "B"), (5, "insert", 4, "C"), (9, "insert", 0, "new")]
+
+
+def test_complete_streams_keep_their_last_result(spark, tmp_path):
+    """Several micro-batches give one row for each user."""
+    rows = [(k, "2024-01-01 00:00:00", k % 2, "click", 1.0, "{}") for k in range(6)]
+    for n in range(3):
+        spark.createDataFrame(rows[2 * n : 2 * n + 2], "event_id long, ts string, user_id long, event_type string, value double, props string").selectExpr("event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(str(tmp_path / "in" / f"part{n}"))
+    stream = spark.readStream.schema(events.EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    out = events.run_once(events.usage(stream), "many", "complete")
+    assert sorted((r["user_id"], r["events"]) for r in out.collect()) == [(0, 3), (1, 3)] and out.columns == ["user_id", "events", "value"]
 
 
 def test_log_keeps_its_cursor_over_torn_lines(spark, tmp_path):

@@ -74,8 +74,48 @@ def test_merge_units_respects_budget():
     assert units["a"] == units["b"] == "a" and units["c"] == "c"
 
 
-def test_greedy_cover_prefers_larger_then_shorter():
-    assert planning.greedy_cover({"long": {1, 2}, "xy": {1, 2}, "z": {3}}) == ["xy", "z"]
+def test_greedy_cover_prefers_larger_then_shorter(spark):
+    rows = [("long", 1), ("long", 2), ("xy", 1), ("xy", 2), ("z", 3), ("z", 3)]
+    got = planning.greedy_cover(spark.createDataFrame(rows, "input string, fault int")).orderBy("round").collect()
+    assert [(r["input"], r["covers"]) for r in got] == [("xy", 2), ("z", 1)]
+
+
+def test_redundant_cases_leave_every_fault_caught(spark):
+    rows = [("a", 1), ("b", 1), ("b", 2), ("c", 2), ("c", 3), ("d", 1), ("d", 2)]
+    got = [r["case"] for r in planning.redundant_cases(spark.createDataFrame(rows, "case string, fault int")).orderBy("round").collect()]
+    assert got == ["a", "b", "d"][: len(got)] and {f for c, f in rows if c not in got} == {1, 2, 3}
+
+
+def test_components_and_levels_of_cyclic_graphs(spark):
+    import random
+
+    rng = random.Random(2)
+    for n, m in ((1, 0), (6, 7), (25, 30), (25, 60)):
+        ids = [f"n{k:02d}" for k in range(n)]
+        edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(m)] + [(i, i) for i in ids[:1]]
+        reach = {i: {i} for i in ids}
+        for _ in ids:
+            for a, b in edges:
+                reach[a] |= reach[b]
+            for a, b in edges:
+                reach[a] |= reach[b]
+        used = {x for e in edges for x in e}
+        comp = {i: min(j for j in reach[i] if i in reach[j]) for i in used}
+        df = spark.createDataFrame(edges, "src string, dst string")
+        assert {r["id"]: r["component"] for r in graph.components(df).collect()} == comp
+        level: dict = {}
+
+        def up(c):
+            if c not in level:
+                level[c] = 1 + max((up(comp[b]) for a, b in edges if comp[a] == c and comp[b] != c), default=-1)
+            return level[c]
+
+        assert {r["id"]: r["level"] for r in graph.levels(df).collect()} == {i: up(comp[i]) for i in used}
+
+
+def test_connected_families(spark):
+    df = spark.createDataFrame([("a", "b"), ("c", "b"), ("x", "y"), ("y", "z"), ("z", "w")], "a string, b string")
+    assert {r["id"]: r["family"] for r in graph.connected(df).collect()} == {"a": "a", "b": "a", "c": "a", "x": "w", "y": "w", "z": "w", "w": "w"}
 
 
 def test_diff_keeps_each_side_payload(spark):

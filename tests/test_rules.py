@@ -31,7 +31,10 @@ def test_policy_order(spark):
 def test_compound_split():
     assert rules.split_segments("cd x && rm -rf y") == ["cd x", "rm -rf y"]
     assert rules.split_segments("echo 'a && b' | wc") == ["echo 'a && b'", "wc"]
-    assert rules.split_segments("echo 'a && b") == ["echo 'a && b"]
+    assert rules.split_segments("echo 'a && b") is None and rules.split_segments('a \\; b "x\\" ; c & d') == ['a \\; b "x\\"', "c & d"]
+    assert rules.split_segments("a\\") == ["a\\"] and rules.split_segments(" ; ;") == []
+    assert rules.without_assignments("A=1 B='x y' C=\"z\" run -x") == "run -x" and rules.without_assignments("a-b=1 x") == "a-b=1 x"
+    assert [rules.is_neutral(x) for x in ("cd a", "A=1", "true", ":", "cdx", "A=1 ls")] == [True, True, True, True, False, False]
 
 
 def test_scopes(spark):
@@ -115,7 +118,7 @@ def test_sign_flip_is_exact():
     own = [x for x in d if x]
     seen = abs(sum(own))
     want = sum(abs(sum(s * x for s, x in zip(signs, own, strict=True))) >= seen for signs in product((1, -1), repeat=len(own))) / 2 ** len(own)
-    assert stats.sign_flip_p(d) == want
+    assert stats.sign_flip_p(d) == pytest.approx(want, abs=1e-15)
     assert stats.sign_flip_p([]) == 1.0
 
 
