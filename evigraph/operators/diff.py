@@ -13,6 +13,12 @@ def diff_rows(base: DataFrame, head: DataFrame, key: list[str]) -> DataFrame:
     return added.unionByName(removed)
 
 
+def any_change(base: DataFrame, head: DataFrame) -> DataFrame:
+    """(changed): whether either side has a row that the other hasn't; one row is enough to know."""
+    rows = base.join(head, base.columns, "left_anti").limit(1).union(head.join(base, base.columns, "left_anti").limit(1))
+    return rows.agg((F.count("*") > 0).alias("changed"))
+
+
 def summary(diff: DataFrame) -> DataFrame:
     return diff.groupBy("type", "sign").agg(F.count("*").alias("n"))
 

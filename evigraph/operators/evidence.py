@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.sources.scratch import materialise
+
 FAR = 1 << 30
 
 
@@ -49,7 +51,7 @@ def join_lanes(syntax: DataFrame, semantic: DataFrame, fallback: DataFrame, exte
     a guess is syntactic unless its file is withheld (calls only); resolutions
     that nothing claims are uses; implements rows pass through.
     """
-    sites = matched(syntax.filter(F.col("kind").isin("call", "import")), semantic, fallback)
+    sites = materialise(matched(syntax.filter(F.col("kind").isin("call", "import")), semantic, fallback), "sites")  # read by four branches
     kind = F.when(F.col("kind") == "call", "calls").otherwise("imports").alias("kind")
     hits = sites.filter("hit_seq is not null")
     drawn = hits.filter("not ambiguous").select(kind, "file", "line", F.col("hit_def_file").alias("def_file"), F.col("hit_def_line").alias("def_line"), F.lit("semantic").alias("tier"), F.lit("scip+tree-sitter").alias("lanes"))

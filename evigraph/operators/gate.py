@@ -210,6 +210,6 @@ def assign_requirements(requirements: DataFrame, files: DataFrame, interiors: Da
 
 def last_handoff(messages: DataFrame) -> DataFrame:
     """(session, chosen, set_aside): the last message of kind handoff, else the last one; messages: (session, seq, kind, body)."""
-    order = F.struct((F.col("kind") == "handoff").cast("int").alias("h"), F.col("seq"))
+    order = F.struct(F.col("kind").eqNullSafe("handoff").cast("int").alias("h"), F.col("seq"))
     return messages.groupBy("session").agg(F.max_by("body", order).alias("chosen"), (F.count("*") - 1).alias("set_aside"))
 

@@ -17,18 +17,17 @@ def grade(edges: DataFrame, sites: DataFrame, files: DataFrame) -> DataFrame:
     without sites, sites without targets, or a line with an unresolved site are
     silent; all else contradicts.
     """
-    facts = sites.groupBy("path", "line").agg(
-        F.flatten(F.collect_list(F.transform("targets", lambda t: F.struct(t["path"].alias("p"), t["line"].alias("l"))))).alias("ts"),
-        F.collect_list(F.when(F.col("i_path").isNotNull(), F.struct(F.col("i_path").alias("p"), F.col("i_line").alias("l")))).alias("is"),
-        F.bool_or(F.size("targets") == 0).alias("open"),
-    )
-    rows = edges.join(facts, ["path", "line"], "left").join(files.select("path").distinct().withColumn("loaded", F.lit(True)), "path", "left")
-    own = F.struct(F.col("t_path").alias("p"), F.col("t_line").alias("l"))
-    none = F.size("ts") == 0
+    # one row per line: how many targets and open sites; the edge's own place is looked up among the line's targets
+    lines = sites.groupBy("path", "line").agg(F.sum(F.size("targets")).alias("many"), F.bool_or(F.size("targets") == 0).alias("open"))
+    targets = sites.select("path", "line", F.explode("targets").alias("t")).select("path", "line", F.col("t.path").alias("t_path"), F.col("t.line").alias("t_line")).distinct().withColumn("hit", F.lit(True))
+    faces = sites.filter("i_path is not null").select("path", "line", F.col("i_path").alias("t_path"), F.col("i_line").alias("t_line")).distinct().withColumn("face", F.lit(True))
+    place = ["path", "line", "t_path", "t_line"]
+    rows = edges.join(lines, ["path", "line"], "left").join(targets, place, "left").join(faces, place, "left").join(files.select("path").distinct().withColumn("loaded", F.lit(True)), "path", "left")
+    none = F.col("many") == 0
     bound = F.col("t_kind").isin("variable", "constant") & ~none
     cases = [
-        (F.col("loaded").isNull(), "silent", "not-loaded"), (F.col("ts").isNull(), "silent", "unreachable"), (F.array_contains("ts", own), "confirmed", ""),
-        (F.array_contains("is", own), "abstract", ""), (bound, "abstract", "func-value"), (none, "silent", "no-targets"), (F.col("open"), "silent", "line-unresolved"),
+        (F.col("loaded").isNull(), "silent", "not-loaded"), (F.col("many").isNull(), "silent", "unreachable"), (F.col("hit"), "confirmed", ""),
+        (F.col("face"), "abstract", ""), (bound, "abstract", "func-value"), (none, "silent", "no-targets"), (F.col("open"), "silent", "line-unresolved"),
     ]
     bucket, reason = F.when(cases[0][0], cases[0][1]), F.when(cases[0][0], cases[0][2])
     for rule, b, r in cases[1:]:

@@ -44,42 +44,6 @@ def contracts(edges: DataFrame, units: DataFrame) -> DataFrame:
     return edges.join(u("src"), "src").join(u("dst"), "dst").filter("src_unit <> dst_unit").select("src", "dst", "type", "src_unit", "dst_unit").distinct()
 
 
-def merge_units(weights: list[tuple[str, int]], couplings: list[tuple[str, str, float]], budget: int, most: int) -> dict[str, str]:
-    """Agglomerative merging of a plan's modules (a driver loop: a plan's modules are few and the order matters).
-
-    The strongest coupled pair of units whose joint weight fits the budget is
-    merged, ties by name, until none fits; units beyond ``most`` then join the
-    lightest unit that has room. Returns module to unit, named by least member.
-    """
-    unit = {m: {m} for m, _ in weights}
-    size = dict(weights)
-    link: dict[tuple[str, str], float] = {}
-    for a, b, w in couplings:
-        if a in size and b in size and a != b:
-            link[min(a, b), max(a, b)] = link.get((min(a, b), max(a, b)), 0.0) + w
-    while True:
-        fit = [(-w, a, b) for (a, b), w in link.items() if w > 0 and size[a] + size[b] <= budget]
-        if not fit:
-            break
-        _, a, b = min(fit)
-        unit[a] |= unit.pop(b)
-        size[a] += size.pop(b)
-        for (x, y), w in list(link.items()):
-            if b in (x, y):
-                del link[x, y]
-                other = y if x == b else x
-                if other != a:
-                    key = (min(a, other), max(a, other))
-                    link[key] = link.get(key, 0.0) + w
-    for name in sorted(unit, key=lambda u: (size[u], u))[: max(0, len(unit) - most)]:
-        room = [u for u in unit if u != name and size[u] + size[name] <= budget]
-        if room:
-            to = min(room, key=lambda u: (size[u], u))
-            unit[to] |= unit.pop(name)
-            size[to] += size.pop(name)
-    return {m: min(members) for members in unit.values() for m in members}
-
-
 def greedy_cover(catches: DataFrame) -> DataFrame:
     """(input, round, covers): inputs that together catch every fault of catches (input, fault).
 

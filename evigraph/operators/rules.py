@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.operators.stats import running_totals
+
 # How verdicts rank, worst first.
 SEVERITY = {"fail": 0, "suspect": 1, "unknown": 2, "soft": 3, "pass": 4, "skipped": 5}
 TESTED_BY_GRAPH = "forbidden-import"
@@ -87,6 +89,22 @@ def most_restrictive(segments: DataFrame) -> DataFrame:
     return top.select("command", F.when(F.col("r") == 3, "deny").when(F.col("r") == 2, "escalate").otherwise("allow").alias("decision"))
 
 
+def ordered(verdicts: DataFrame) -> DataFrame:
+    """verdicts (id, verdict) with their place: worst first, then by the number that ends the id, then by id."""
+    severity = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
+    number = F.coalesce(F.try_to_number(F.regexp_extract("id", "([0-9]+)$", 1), F.lit("999999999999")).cast("long"), F.lit(0))
+    keyed = verdicts.withColumn("key", F.struct(severity[F.col("verdict")].alias("s"), number.alias("n"), F.col("id").alias("i"))).withColumn("one", F.lit(1))
+    return running_totals(keyed, "key", "one").select("id", "verdict", (F.col("before_one") + 1).cast("long").alias("place"))
+
+
+def compile_rules(rules: DataFrame, dialects: dict[str, str]) -> DataFrame:
+    """(target, config): one text per target dialect, a line for each of its rules (target, position, kind, what) in order."""
+    template = F.create_map(*[F.lit(x) for kv in dialects.items() for x in kv])
+    line = F.replace(F.replace(template[F.col("target")], F.lit("{kind}"), F.col("kind")), F.lit("{what}"), F.col("what"))
+    rows = rules.filter(F.col("target").isin(list(dialects))).withColumn("line", line)
+    return rows.groupBy("target").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("config"))
+
+
 _PIECES = re.compile(r"""\\.|'[^']*'|"[^"]*"|(?P<cut>&&|\|\||[;|])|(?P<open>['"])|[^\\'"&|;]+|.""", re.S)
 _ASSIGNMENT = re.compile(r"""[ \t]*[A-Za-z_][A-Za-z0-9_]*=(?:'[^']*'|"[^"]*"|[^ \t'"])*(?=[ \t]|$)""")
 

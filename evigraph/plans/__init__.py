@@ -13,6 +13,7 @@ from evigraph.plans import (  # noqa: F401  they fill the registry
     relational_queries,
     rule_queries,
     scalar_queries,
+    service_queries,
     session_queries,
     stats_queries,
     stream_queries,

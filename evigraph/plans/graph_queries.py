@@ -125,17 +125,6 @@ def contracts_crossing(spark, d):
     return planning.contracts(domain.calls(spark, d), units).withColumn("id", F.concat(F.lit("K"), rank))
 
 
-@query("merge_units")
-def merge_units(spark, d):
-    """Driver loop over a plan's modules: brands coupled by shared suppliers."""
-    li, p = table(spark, d, "lineitem"), table(spark, d, "part")
-    own = li.join(p, li.l_partkey == p.p_partkey).select(F.col("l_suppkey").alias("s"), F.col("p_brand").alias("b")).distinct()
-    weights = [(r["b"], r["n"]) for r in own.groupBy("b").agg(F.count("*").alias("n")).collect()]  # one row per brand
-    pairs = own.withColumnRenamed("b", "a").join(own, "s").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("w")).collect()
-    units = planning.merge_units(weights, [(r["a"], r["b"], float(r["w"])) for r in pairs], 3 * max(w for _, w in weights), 12)
-    return spark.createDataFrame(sorted(units.items()), "module string, unit string")
-
-
 @query("guard_lookup", f"{WITH} SELECT DISTINCT c.src AS test, p.p_brand AS module FROM calls c JOIN part p ON 'part:' || p.p_partkey = c.dst WHERE p.p_brand LIKE 'Brand#1%'")
 def guard_lookup(spark, d):
     p = table(spark, d, "part").select(F.concat(F.lit("part:"), F.col("p_partkey")).alias("dst"), F.col("p_brand").alias("module")).filter(F.col("module").startswith("Brand#1"))

@@ -162,7 +162,6 @@ def poison_check(spark, d):
 
 shared_sql("trace_bucket", ["events"], """WITH e AS (SELECT event_id, user_id, event_type, value FROM events), s AS (SELECT user_id, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS mixed, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS hit FROM e GROUP BY user_id)
 SELECT e.event_id, CASE WHEN s.hit = 1 AND e.value > 50 THEN 'confirmed' WHEN s.mixed = 1 THEN 'unobserved' ELSE 'suspect' END AS bucket FROM e JOIN s ON s.user_id = e.user_id WHERE e.event_type = 'click'""")
-shared_sql("severity_order", ["part"], "SELECT p_brand AS id, CAST(row_number() OVER (ORDER BY CASE WHEN min(p_size) < 3 THEN 0 ELSE 1 END, CAST(substr(p_brand, 7) AS INT)) AS INT) AS place FROM part GROUP BY p_brand")
 shared_sql("next_record_id", ["part"], "SELECT max(CAST(substr(p_brand, 7) AS INT)) + 1 AS next_id FROM part")
 shared_sql("effective_status", ["orders"], "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1996-01-01 00:00:00' THEN 'expired' WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'resolved' END AS status FROM orders")
 shared_sql("staleness", ["orders"], "WITH old AS (SELECT o_custkey AS path, max(o_orderkey) AS hash FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00' GROUP BY o_custkey), now AS (SELECT o_custkey AS path, max(o_orderkey) AS hash FROM orders GROUP BY o_custkey) SELECT n.path, CASE WHEN o.hash IS NULL THEN 'missing' WHEN o.hash = n.hash THEN 'fresh' ELSE 'stale' END AS state FROM now n LEFT JOIN old o ON o.path = n.path")

@@ -63,13 +63,6 @@ def mutual_information(spark, d):
     return stats.mutual_information(_rec(spark, d), "lang", "quality").select(F.round("bits", 6).alias("bits"))
 
 
-@query("entropy_bins", "WITH q AS (SELECT quantile_cont(value, [0.25, 0.5, 0.75]) AS e FROM events) SELECT event_id, len(list_filter(e, lambda x: x <= value))::INT AS bin FROM events CROSS JOIN q")
-def entropy_bins(spark, d):
-    e = table(spark, d, "events")
-    edges = e.agg(F.percentile("value", [0.25, 0.5, 0.75]).alias("e"))
-    return e.join(F.broadcast(edges), how="cross").select("event_id", F.expr("size(filter(e, x -> x <= value))").alias("bin"))
-
-
 @query("confusion_matrix", f"WITH {REC} SELECT lang, count(*) FILTER (WHERE quality = 0) AS q0, count(*) FILTER (WHERE quality = 1) AS q1 FROM rec GROUP BY lang")
 def confusion_matrix(spark, d):
     return _rec(spark, d).groupBy("lang").pivot("quality", [0, 1]).count().select("lang", F.coalesce("0", F.lit(0)).alias("q0"), F.coalesce("1", F.lit(0)).alias("q1"))
@@ -119,4 +112,3 @@ shared_sql("balanced_sample", ["labels"], "WITH r AS (SELECT doc_id, quality, ro
 shared_sql("most_common_tuple", ["documents"], "WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) AS k FROM c) SELECT lang, source, n FROM r WHERE k = 1")
 shared_sql("run_back", ["orders"], "WITH r AS (SELECT o_custkey, o_orderdate, o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN 1 ELSE 0 END AS ok FROM orders), c AS (SELECT *, min(ok) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS held FROM r) SELECT o_custkey, count(*) AS run FROM c WHERE held = 1 GROUP BY o_custkey")
 shared_sql("multi_grain_report", ["orders"], "SELECT o_orderstatus AS arm, o_orderpriority AS kind, count(*) AS n, CAST(grouping(o_orderpriority) AS INT) AS g FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderstatus, o_orderpriority))")
-shared_sql("grid_neighbours", ["part"], "WITH c AS (SELECT DISTINCT p_brand AS a, p_size AS b FROM part WHERE p_size < 6) SELECT x.a, x.b, count(*) AS n FROM c x JOIN c y ON (x.a = y.a AND abs(x.b - y.b) = 1) OR (x.b = y.b AND x.a <> y.a) GROUP BY x.a, x.b")

@@ -92,3 +92,10 @@ def to_mermaid(nodes: DataFrame, edges: DataFrame, limit: int = 500) -> str:
         if e["src"] in ids and e["dst"] in ids:
             lines.append(f"  {ids[e['src']]} {arrows.get(e['type'], '-.-')} {ids[e['dst']]}")
     return "\n".join(lines)
+
+
+def read_escalations(spark: SparkSession, path: str) -> DataFrame:
+    """Escalation records under a folder, oldest first; torn ones are left out."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path).filter(F.try_parse_json("value").isNotNull())
+    rows = raw.select(F.from_json("value", "session STRING, id LONG, status STRING, at TIMESTAMP").alias("r")).select("r.*")
+    return rows.filter("session is not null").orderBy("at", "id")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from evigraph.operators import diff, graph, planning
+from evigraph.operators import diff, graph, planning, partition
 
 EDGES = [
     ("app.api", "app.core", "imports", "semantic"), ("app.api", "ext:react", "imports", "syntactic"), ("app.api", "env:HOME", "env-read", "syntactic"),
@@ -69,9 +69,49 @@ def test_cochange_limits_and_factor(spark):
     assert got == {("a", "b"): (1, 1.25), ("x", "y"): (9, 3.0)}
 
 
-def test_merge_units_respects_budget():
-    units = planning.merge_units([("a", 10), ("b", 10), ("c", 50)], [("a", "b", 5.0), ("b", "c", 9.0)], 55, 9)
-    assert units["a"] == units["b"] == "a" and units["c"] == "c"
+def test_units_respect_budget_cap_and_seeds():
+    got = partition.build_units({"a": 1000, "b": 1000, "c": 5000}, [("a", "b", 5.0), ("b", "c", 9.0)], 5500)
+    assert [(u, m) for u, m, _, _ in got] == [("U1", "c"), ("U2", "a"), ("U2", "b")]
+    many = {f"m{k}": 10_000 + k for k in range(5)}
+    got = partition.build_units(many, [], 100, 3, {"m1": 1.0, "m4": 0.5})
+    assert {m: u for u, m, _, _ in got} == {"m4": "U1", "m3": "U2", "m1": "U3", "m2": "D1", "m0": "D2"}
+    assert all(("deferred" in f) == u.startswith("D") and (("oversize" in f) == u.startswith("U")) for u, _, _, f in got)
+    got = partition.build_units(many, [("m0", "m1", 1.0)], 100, 4, dict.fromkeys(many, 1.0))
+    assert sorted(m for u, m, _, f in got if "capped" in f) == ["m0", "m1"]
+
+
+def plain_units(weights, couplings, budget):
+    """The strongest fitting pair of all, again and again."""
+    units = [[m] for m in sorted(weights)]
+    link = {}
+    for a, b, w in couplings:
+        link[min(a, b), max(a, b)] = link.get((min(a, b), max(a, b)), 0) + w
+    while True:
+        pairs = []
+        for x in units:
+            for y in units:
+                if x is not y and x[0] < y[0]:
+                    w = sum(link.get((min(a, b), max(a, b)), 0) for a in x for b in y)
+                    if w > 0 and sum(weights[m] for m in x + y) <= budget:
+                        pairs.append((-w, x[0], y[0], x, y))
+        if not pairs:
+            return {frozenset(u) for u in units}
+        *_, x, y = min(pairs, key=lambda p: p[:3])
+        units = sorted([u for u in units if u is not x and u is not y] + [sorted(x + y)])
+
+
+def test_units_against_brute_force():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(20):
+        names = [f"m{k:02d}" for k in range(9)]
+        weights = {m: rng.randrange(100_000, 200_000) for m in names}  # contracts never rival the inside
+        couplings = [(*sorted(rng.sample(names, 2)), float(rng.randrange(1, 9))) for _ in range(14)]
+        got: dict = {}
+        for u, m, _, _ in partition.build_units(weights, couplings, 500_000):
+            got.setdefault(u, set()).add(m)
+        assert {frozenset(x) for x in got.values()} == plain_units(weights, couplings, 500_000)
 
 
 def test_greedy_cover_prefers_larger_then_shorter(spark):

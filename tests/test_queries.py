@@ -38,7 +38,8 @@ def test_matches_sql(spark, duck, small, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, small, name):
-    assert QUERIES[name](spark, small).count() >= 0
+    """Other tests compare their operators with brute force; here each must give rows of the whole tables."""
+    assert QUERIES[name](spark, small).count() > 0
 
 
 def test_entry(spark, small):
