@@ -3,8 +3,9 @@
 The content view sees the text (repetition, symbols, case, word and line
 shapes); the metadata view sees what a page comes with (source, language, sizes
 as recorded). Each view trains boosted trees on labelled rows. Then, for some
-rounds, each view pseudo-labels the unlabelled rows it is most sure of and hands
-them to the other view. Both views are calibrated on labelled rows kept aside,
+rounds, each view scores all unlabelled rows and hands those it is most sure of to
+the other view: the surest of each label over the whole table, rows of one content
+once, up to a bound on what the next fit takes. Both views are calibrated on labelled rows kept aside,
 and their calibrated log-odds are added (less the prior's) to score every row.
 
 Results in odd cases: null or empty texts have zero content features; null
@@ -22,14 +23,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from evigraph.llm._text import IS_LETTER, IS_SPACE, LOWER, Spans, in_fold, look, read, segment_sum, text_blocks, unit, words
+from evigraph.llm._text import IS_LETTER, IS_SPACE, LOWER, Spans, cut, in_fold, look, read, segment_sum, text_blocks, trimmed, unit, words
 from evigraph.llm._trees import Boosted, fit_boosted, fit_isotonic
 
-#: Most labelled rows of a class and most unlabelled rows, in expectation, that are learned from.
-MAX_LABELLED, MAX_UNLABELLED = 4000, 12_000
+#: Most labelled rows of a class, in expectation, that are learned from, and most pseudo-labels that a view hands over in a round.
+MAX_LABELLED, GIVEN = 4000, 600
+#: Rounds; the share of the unlabelled rows that a view may hand over in a round, and how sure it must be.
 ROUNDS, SHARE, SURE = 3, 0.05, 0.9
 META_BINS = 16
 
@@ -114,37 +117,72 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *x], ["y", "u", "content", "meta"])
 
 
-def cotrain(x: list[np.ndarray], y: np.ndarray, w: np.ndarray, unlabelled: list[np.ndarray]) -> list[Boosted]:
-    """Two views' trees after ROUNDS exchanges of confident pseudo-labels."""
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float64())) for v in _features(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *x], ["doc_id", "content", "meta"])
+
+
+def _surest(views, most: int):
+    """Per task: of its rows, the surest of each view and label, with the features of both views; rows of one content count once.
+
+    The surest of all rows are among the surest of every task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], dict[bytes, tuple]] = {(v, y): {} for v in (0, 1) for y in (0, 1)}
+        for batch in batches:
+            x = [c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1) for c in batch.columns]
+            mark = [xxhash.xxh3_128_digest(c.tobytes() + m.tobytes()) for c, m in zip(*x, strict=True)]
+            for v in (0, 1):
+                p = 1 / (1 + np.exp(-views.value[v].margin(x[v])))
+                for y, sure in ((1, p), (0, 1 - p)):
+                    own = held[v, y]
+                    for k in np.flatnonzero(sure >= SURE):
+                        own[mark[k]] = (float(sure[k]), x[0][k], x[1][k])
+                    if len(own) > 4 * most:
+                        held[v, y] = dict(sorted(own.items(), key=lambda kv: (-kv[1][0], kv[0]))[:most])
+        rows = [(v, y, m, *r) for (v, y), own in held.items() for m, r in sorted(own.items(), key=lambda kv: (-kv[1][0], kv[0]))[:most]]
+        for lo in range(0, len(rows), 500):
+            part = rows[lo : lo + 500]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary()), pa.array([r[3] for r in part], pa.float64()), *(pa.array([list(r[k]) for r in part], pa.list_(pa.float64())) for k in (4, 5))], ["view", "y", "mark", "sure", "content", "meta"])
+
+    return run
+
+
+SURE_ROWS = "view int, y int, mark binary, sure double, content array<double>, meta array<double>"
+
+
+def cotrain(x: list[np.ndarray], y: np.ndarray, w: np.ndarray, loose: DataFrame, total: int) -> list[Boosted]:
+    """Two views' trees after ROUNDS exchanges of confident pseudo-labels over all of loose (content and meta of rows without a label)."""
+    spark = loose.sparkSession
     sets = [(own, y, w) for own in x]
     trees = [fit_boosted(*s) for s in sets]
-    for _ in range(ROUNDS):
-        if not len(unlabelled[0]):
+    most = min(GIVEN, max(1, int(SHARE * total)))
+    used: set[bytes] = set()
+    for _ in range(ROUNDS if total else 0):
+        shared = spark.sparkContext.broadcast(trees)
+        # at most ROUNDS x 4 x GIVEN rows have been used before, so the first of so many more hold the next ones
+        rank = F.row_number().over(Window.partitionBy("view", "y").orderBy(F.desc("sure"), "mark"))
+        found = loose.mapInArrow(_surest(shared, most + len(used)), SURE_ROWS).dropDuplicates(["view", "y", "mark"])
+        found = found.withColumn("r", rank).filter(F.col("r") <= most + len(used)).toPandas()
+        found = found[[m not in used for m in found["mark"]]].sort_values(["view", "y", "r"])
+        found = found[found.groupby(["view", "y"]).cumcount() < most]
+        if not len(found):
             break
-        given = []
-        for model, own in zip(trees, unlabelled, strict=True):
-            p = 1 / (1 + np.exp(-model.margin(own)))
-            most = max(1, int(SHARE * len(p)))
-            picks = []
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                top = np.argsort(-sure, kind="stable")[:most]
-                picks += [(k, label) for k in top[sure[top] >= SURE]]
-            given.append(picks)
-        used = sorted({k for picks in given for k, _ in picks})
-        for to, picks in ((0, given[1]), (1, given[0])):
-            if picks:
-                at, label = np.array([k for k, _ in picks]), np.array([v for _, v in picks])
-                own, ys, ws = sets[to]
-                sets[to] = (np.concatenate([own, unlabelled[to][at]]), np.concatenate([ys, label]), np.concatenate([ws, np.full(len(at), 0.5)]))
+        used |= set(found["mark"])
+        for to in (0, 1):
+            own = found[found["view"] == 1 - to]
+            if len(own):
+                more = np.array(own["meta" if to else "content"].tolist())
+                old, ys, ws = sets[to]
+                sets[to] = (np.concatenate([old, more]), np.concatenate([ys, own["y"].to_numpy(float)]), np.concatenate([ws, np.full(len(own), 0.5)]))
         trees = [fit_boosted(*s) for s in sets]
-        rest = np.ones(len(unlabelled[0]), bool)
-        rest[used] = False
-        unlabelled = [u[rest] for u in unlabelled]
     return trees
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> QualityModel:
-    """Learn from bounded samples of labelled rows that pass train, and of rows without a label."""
+    """Learn from a bounded sample of labelled rows that pass train, and from all rows without a label."""
     known = labels.filter(train & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("long").alias("y"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(sizes) < 2:
@@ -155,10 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> QualityModel:
     columns = [F.col("text"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("double")]
     rows = docs.filter(F.col("doc_id").isNotNull())
     labelled = rows.join(F.broadcast(picked), "doc_id").select("y", u.alias("u"), *columns)  # at most about 2 x MAX_LABELLED rows
-    loose = rows.filter(u < min(1.0, MAX_UNLABELLED / max(1, total))).join(known.select("doc_id"), "doc_id", "left_anti").select(F.lit(-1).cast("long").alias("y"), u.alias("u"), *columns)
-    found = labelled.union(loose).mapInArrow(_sample, "y long, u double, content array<double>, meta array<double>").toPandas().sort_values("u", kind="stable")
+    found = labelled.mapInArrow(_sample, "y long, u double, content array<double>, meta array<double>").toPandas().sort_values("u", kind="stable")
     views = [np.array(found[c].tolist()) for c in ("content", "meta")]
     y = found["y"].to_numpy()
+    # each text is read once: the features of the rows without a label are kept for the rounds
+    features = rows.select("doc_id", *columns).mapInArrow(trimmed(_feature_rows), rows.select("doc_id").schema.add("content", ArrayType(DoubleType())).add("meta", ArrayType(DoubleType())))
+    loose = cut(features.join(known.select("doc_id"), "doc_id", "left_anti").select("content", "meta"), "features")
     own = np.flatnonzero(y >= 0)
     aside = own[np.arange(len(own)) % 3 == 0]
     taught = own[np.arange(len(own)) % 3 != 0]
@@ -167,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> QualityModel:
     weight = {k: sizes[k] / max(1, int((y[own] == k).sum())) for k in (0, 1)}
     w = np.array([weight[k] for k in y[taught]])
     w *= len(w) / w.sum()
-    trees = cotrain([v[taught] for v in views], y[taught].astype(float), w, [v[y < 0] for v in views])
+    trees = cotrain([v[taught] for v in views], y[taught].astype(float), w, loose, total)
     wa = np.array([weight[k] for k in y[aside]])
     prior = float(np.clip(sizes[1] / sum(sizes.values()), 0.01, 0.99))
     fitted = [View(t, fit_isotonic(t.margin(v[aside]), y[aside].astype(float), wa * len(wa) / wa.sum(), prior)) for t, v in zip(trees, views, strict=True)]

@@ -114,6 +114,28 @@ def test_quality_separates_junk(spark, docs, awkward):
     assert cotraining.score(odd, cotraining.fit(odd, labels.limit(0), F.lit(True)), ["doc_id"]).filter("score = 0.5").count() == len(awkward)
 
 
+def test_pseudo_labels_are_the_surest_of_all_rows(spark):
+    """Each view hands over its surest rows of the whole table, one of each content, whatever the partitions."""
+    rng = np.random.default_rng(4)
+    x = [rng.normal(size=(400, 3)), rng.normal(size=(400, 2))]
+    for v in x:
+        v[300:] = v[:100]  # copies
+    y = (x[0][:, 0] + 0.3 * x[1][:, 1] > 0).astype(float)
+    trees = [cotraining.fit_boosted(v[:150], y[:150], np.ones(150)) for v in x]
+    shared = spark.sparkContext.broadcast(trees)
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(*x, strict=True)], "content array<double>, meta array<double>")
+    want = {}
+    for v in (0, 1):
+        p = 1 / (1 + np.exp(-trees[v].margin(x[v])))
+        for label, sure in ((1, p), (0, 1 - p)):
+            own = {(x[0][k].tobytes(), x[1][k].tobytes()): float(sure[k]) for k in np.flatnonzero(sure >= cotraining.SURE)}
+            want[v, label] = sorted(own.values(), reverse=True)[:20]
+    for parts in (1, 5):
+        rows = df.repartition(parts).mapInArrow(cotraining._surest(shared, 20), cotraining.SURE_ROWS).dropDuplicates(["view", "y", "mark"]).collect()
+        for key, values in want.items():
+            assert sorted((r["sure"] for r in rows if (r["view"], r["y"]) == key), reverse=True)[:20] == pytest.approx(values)
+
+
 def test_quality_query(spark, big):
     labels = spark.read.parquet(f"{big}/labels.parquet")
     rows = cotraining.op7_quality_cotraining(spark, big).join(labels, "doc_id").filter("held_out").collect()
