@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evigraph.llm import packing
@@ -123,3 +124,19 @@ def test_run_is_the_stages(spark, small, stages):
     import corpus_pipeline as p
 
     assert p.run(spark, small).count() == stages[5].count()
+
+
+def test_pipeline_stages_take_odd_rows_and_clashing_columns(spark, small, docs, awkward):
+    """Columns named as the operators' own, null ids, repeated rows and an empty table."""
+    import corpus_pipeline as p
+
+    names = ("predicted", "score", "lang_pred", "mixture", "held_out", "component_id", "sid", "tokens")
+    odd = docs([*((k, t) for k, t in enumerate(awkward)), (None, "same text here for you"), (None, None), (5, "same text here for you")])
+    odd = odd.withColumns({c: F.lit(c) for c in names})
+    for df, some in ((odd, True), (odd.limit(0), False)):
+        for name, stage in p.STAGES[:-1]:
+            out = stage(spark, df, small)
+            assert out.columns == odd.columns and (out.count() > 0) == some, name
+        assert (p.STAGES[-1][1](spark, df, small).count() > 0) == some
+    kept = [r["doc_id"] for r in p.STAGES[1][1](spark, odd, small).collect()]
+    assert kept.count(None) == 1 and kept.count(5) == 2 and not set(kept) & {0, 1, 2, 3}
