@@ -10,7 +10,7 @@ from evigraph.sources import code, domain
 from evigraph.sources.domain import GRAPH_SQL, table
 
 SOURCES = [
-    ("app/__init__.py", ""), ("app/api.py", "from app import core\nimport os\n\n\n@router.get('/items')\ndef items():\n    with core.Lock() as lock:\n        return core.load(os.getcwd())\n\n\n@router.route(PREFIX)\ndef odd():\n    pass\n"),
+    ("app/__init__.py", ""), ("app/api.py", "from app import core\nimport os, fastapi\n\n\n@router.get('/items')\ndef items():\n    with core.Lock() as lock:\n        return core.load(os.getcwd())\n\n\n@router.route(PREFIX)\ndef odd():\n    pass\n"),
     ("app/core.py", "class Base:\n    pass\n\n\nclass Lock(Base):\n    def __enter__(self):\n        return self\n\n    def __exit__(self, *a):\n        pass\n\n\ndef load(path):\n    return open(path)\n"),
     ("tools/core.py", "x = 1\n"), ("tools/app/core.py", "def helper():\n    pass\n"), ("main.go", 'package main\n\nimport "fmt"\n\nfunc Run(a int) {\n\tfmt.Println(a)\n}\n\ntype T struct {\n}\n'),
     ("lib.rs", "use std::fmt;\n\npub fn go_on() {\n    step();\n}\n\nstruct S {\n}\n"), ("A.java", "import java.util.List;\n\nclass A {\n  public int f(int x) {\n    return g(x);\n  }\n}\n"),

@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FACTS = "path string, lang string, kind string, name string, scope string, line int, end_line int, col int, target string"
-# File extensions and their languages, and the verbs of route decorators.
+# File extensions and their languages, the verbs of route decorators, and the web frameworks.
 LANGUAGES = {"py": "python", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "tf": "terraform"}
-VERBS = {"get", "post", "put", "delete", "patch", "head", "options"}
+VERBS = {"get", "post", "put", "delete", "patch", "head", "options", "trace", "websocket"}
+
+FRAMEWORKS = {"fastapi", "flask"}
 
 # What declares a symbol, by language: pattern, kind. The name is group 1.
 DECLARATIONS = {
@@ -47,6 +49,10 @@ def python_facts(path: str, text: str) -> Iterator[tuple]:
         yield path, "python", "error", "", "", 0, 0, -1, ""
         return
 
+    tops = {a.name.split(".")[0] for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names}
+    tops |= {n.module.split(".")[0] for n in ast.walk(tree) if isinstance(n, ast.ImportFrom) and not n.level and n.module}
+    known = not tops.isdisjoint(FRAMEWORKS)  # a route without a literal path counts as declined only where a framework is imported
+
     def dotted(node: ast.AST) -> str:
         if isinstance(node, ast.Name):
             return node.id
@@ -72,7 +78,7 @@ def python_facts(path: str, text: str) -> Iterator[tuple]:
                         if verb == "route":
                             listed = next((k.value for k in call.keywords if k.arg == "methods"), None)
                             verbs = [e.value.upper() for e in getattr(listed, "elts", []) if isinstance(e, ast.Constant)] or ["GET"]
-                        for v in verbs if literal else [""]:
+                        for v in verbs if literal else [""] * known:
                             yield *row, "route" if literal else "declined-route", v, own, d.lineno, d.lineno, d.col_offset, call.args[0].value if literal else ""
                 if isinstance(child, ast.ClassDef):
                     for b in child.bases:

@@ -45,3 +45,10 @@ def test_rehome_takes_the_innermost_body(spark):
     facts_ = d([("a", 5, "m"), ("a", 50, "m")], "path string, line int, scope string")
     bodies = d([("a", 1, 20, "outer"), ("a", 4, 6, "inner")], "path string, first int, last int, id string")
     assert {(r["line"], r["scope"]) for r in derived.rehome(facts_, bodies).collect()} == {(5, "inner"), (50, "m")}
+
+
+def test_routes_without_a_literal_need_a_framework(spark):
+    body = "\n\n@app.get(PATH)\ndef a():\n    pass\n\n\n@app.route('/x', methods=['get', 'PUT'])\ndef b():\n    pass\n"
+    files = [("web.py", "from flask import Flask" + body), ("other.py", "import os" + body)]
+    rows = code.scan(spark.createDataFrame(files, "path string, text string")).filter("kind in ('route', 'declined-route')").collect()
+    assert {(r["path"], r["kind"], r["name"]) for r in rows} == {("web.py", "declined-route", ""), ("web.py", "route", "GET"), ("web.py", "route", "PUT"), ("other.py", "route", "GET"), ("other.py", "route", "PUT")}
