@@ -120,6 +120,10 @@ def test_sign_flip_is_exact():
     want = sum(abs(sum(s * x for s, x in zip(signs, own, strict=True))) >= seen for signs in product((1, -1), repeat=len(own))) / 2 ** len(own)
     assert stats.sign_flip_p(d) == pytest.approx(want, abs=1e-15)
     assert stats.sign_flip_p([]) == 1.0
+    fine = [Fraction(1, 1_000_003), Fraction(-5, 999_983), Fraction(3, 7), Fraction(2, 11), Fraction(1, 5)]
+    seen = abs(sum(fine))
+    want = sum(abs(sum(s * x for s, x in zip(signs, fine, strict=True))) >= seen for signs in product((1, -1), repeat=5)) / 32
+    assert stats.sign_flip_p(fine) == want
 
 
 def test_auc_with_ties(spark):
