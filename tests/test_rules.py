@@ -126,6 +126,20 @@ def test_sign_flip_is_exact():
     assert stats.sign_flip_p(fine) == want
 
 
+def test_sign_flip_on_any_grid():
+    """Denominators whose common multiple is beyond 64 bits, and many differences of few sizes."""
+    from itertools import product
+
+    d = [Fraction((-1) ** k * (k + 2), p) for k, p in enumerate((10007, 10009, 10037, 10039, 10061, 10067, 10069, 10079))]
+    seen = abs(sum(d))
+    want = sum(abs(sum(s * x for s, x in zip(signs, d, strict=True))) >= seen for signs in product((1, -1), repeat=len(d))) / 2 ** len(d)
+    assert stats.sign_flip_p(d) == pytest.approx(want, abs=1e-15)
+    grown = d + [Fraction(k % 7, 3001 + 2 * k) for k in range(12)]
+    assert 0 < stats.sign_flip_p(grown) <= 1
+    same = [Fraction(1, 10_000_019)] * 60
+    assert stats.sign_flip_p(same) == pytest.approx(2.0**-59)
+
+
 def test_auc_with_ties(spark):
     rows = [(1.0, 0), (1.0, 1), (2.0, 1), (0.5, 0), (3.0, 0)]
     (auc,) = stats.rank_auc(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()
