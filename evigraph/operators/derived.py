@@ -40,12 +40,14 @@ def alias_calls(sites: DataFrame, right_sides: DataFrame, edges: DataFrame) -> D
 def fixture_injections(requests: DataFrame, fixtures: DataFrame) -> DataFrame:
     """Requests (src, name, scopes nearest first) take the fixture (name, scope, dst) of the nearest scope.
 
-    Two definitions in that scope refuse the request.
+    Two definitions in that scope refuse the request. Of a scope's fixtures of a name only the ends go to its requests.
     """
+    ends = fixtures.groupBy("name", "scope").agg(F.min("dst").alias("dst"), F.max("dst").alias("last"), F.bool_or(F.col("dst").isNull()).alias("blank"))
     asked = requests.select("src", "name", F.posexplode("scopes").alias("depth", "scope"))
-    hit = asked.join(fixtures, ["name", "scope"])
-    near = hit.groupBy("src", "name").agg(F.min("depth").alias("depth"))
-    return one_answer(hit.join(near, ["src", "name", "depth"]), ["src", "name"]).select("src", "dst", "name").distinct()
+    at = asked.join(ends, ["name", "scope"]).groupBy("src", "name", "depth").agg(F.min("dst").alias("dst"), F.max("last").alias("last"), F.bool_or("blank").alias("blank"))
+    near = at.groupBy("src", "name").agg(F.min_by(F.struct("dst", "last", "blank"), "depth").alias("s")).filter("s.dst = s.last")
+    dst = F.explode(F.when(F.col("s.blank"), F.array("s.dst", F.lit(None))).otherwise(F.array("s.dst")))
+    return near.select("src", dst.alias("dst"), "name")
 
 
 def union_member_sites(receivers: DataFrame, holders: DataFrame) -> DataFrame:

@@ -145,3 +145,34 @@ def test_auc_with_ties(spark):
     (auc,) = stats.rank_auc(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()
     pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
     assert auc == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)))
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Rows that collecting a DataFrame shuffles when no side is broadcast."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    def total():
+        none, gateway = spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    def run(df):
+        before = total()
+        return df.collect(), sum(n for k, n in total().items() if k not in before)
+
+    yield run
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_fixtures_of_a_scope_are_not_paired_with_its_requests(spark, shuffled):
+    from evigraph.operators import derived
+
+    i = F.col("id")
+    scopes = F.array(F.concat(F.lit("n"), i % 2), F.lit("far"))
+    requests = spark.range(2000).select(F.concat(F.lit("c"), i).alias("src"), F.lit("x").alias("name"), scopes.alias("scopes"))
+    fixtures = spark.range(600).select(F.lit("x").alias("name"), F.lit("n0").alias("scope"), F.concat(F.lit("s"), i).alias("dst")).union(spark.createDataFrame([("x", "far", "r"), ("x", "far", "r")], "name string, scope string, dst string"))
+    rows, size = shuffled(derived.fixture_injections(requests, fixtures))
+    assert sorted(map(tuple, rows)) == sorted((f"c{k}", "r", "x") for k in range(1, 2000, 2))
+    assert size < 50_000
