@@ -131,16 +131,21 @@ def bucket_misses(misses: DataFrame, shapes: DataFrame, key_sites: DataFrame, co
     differently are ambiguous.
     """
     named = misses.withColumn("name", F.trim(F.element_at(F.split("t_name", "[.]"), -1), F.lit('"')))
-    c = confirmed.select("path", "line", "t_path", "t_name", F.col("t_line").alias("c_line")).distinct()
-    sibling = named.join(c, ["path", "line", "t_path", "t_name"]).filter("c_line <> t_line").select("miss").distinct().withColumn("sibling", F.lit(True))
+    place, key, ends = ["path", "line"], ["path", "line", "t_path", "t_line"], lambda k: (F.min("lo").alias(f"{k}_lo"), F.max("hi").alias(f"{k}_hi"))
+    # what is joined to the misses has one row for each of their keys
+    c = confirmed.groupBy(*place, "t_path", "t_name").agg(F.min("t_line").alias("c_lo"), F.max("t_line").alias("c_hi"))
     read = shapes.select("path", "line", "col", F.col("name").alias("s_name"), shape_bucket().alias("bucket"))
-    columns = key_sites.select("path", "line", "t_path", "t_line", (F.col("col") - 1).alias("col")).distinct()
-    at = named.join(columns, ["path", "line", "t_path", "t_line"]).join(read, ["path", "line", "col"])
-    n = at.groupBy("miss").agg(F.count("*").alias("many"), F.count_if(F.col("s_name") == F.col("name")).alias("own"))
-    at = at.join(n, "miss").filter("many = 1 or own = 0 or s_name = name")
-    one = lambda df, k: df.groupBy("miss").agg(F.count_distinct("bucket").alias(f"{k}_n"), F.min("bucket").alias(f"{k}_bucket"))
-    near = named.join(read, ["path", "line"])
-    rows = named.join(sibling, "miss", "left").join(one(at, "at"), "miss", "left").join(one(near.filter("s_name = name"), "by"), "miss", "left").join(near.select("miss").distinct().withColumn("some", F.lit(True)), "miss", "left")
+    read = read.groupBy(*place, "col", "s_name").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
+    at = key_sites.select(*key, (F.col("col") - 1).alias("col")).distinct().join(read, [*place, "col"])
+    own = at.filter("s_name is not null").groupBy(*key, F.col("s_name").alias("name")).agg(*ends("own"), F.lit(True).alias("own"))
+    by = read.filter("s_name is not null").groupBy(*place, F.col("s_name").alias("name")).agg(*ends("by"))
+    rows = named.join(c, [*place, "t_path", "t_name"], "left").withColumn("sibling", F.expr("c_lo <> t_line or c_hi <> t_line"))
+    rows = rows.join(at.groupBy(*key).agg(*ends("all")), key, "left").join(own, [*key, "name"], "left")
+    rows = rows.join(by, [*place, "name"], "left").join(read.select(*place).distinct().withColumn("some", F.lit(True)), place, "left")
+    for end in ("lo", "hi"):
+        rows = rows.withColumn(f"at_{end}", F.when(F.col("own"), F.col(f"own_{end}")).otherwise(F.col(f"all_{end}")))
+    for k in ("at", "by"):
+        rows = rows.withColumn(f"{k}_n", F.when(F.col(f"{k}_lo") == F.col(f"{k}_hi"), 1).when(F.col(f"{k}_lo").isNotNull(), 2).otherwise(0)).withColumn(f"{k}_bucket", F.col(f"{k}_lo"))
     bucket = (
         F.when(F.col("sibling"), "sibling").when(F.col("at_n") == 1, F.col("at_bucket")).when(F.col("at_n") > 1, "ambiguous").when(F.col("by_n") == 1, F.col("by_bucket")).when(F.col("by_n") > 1, "ambiguous")
         .when(F.col("some"), "no-record").otherwise("no-site")

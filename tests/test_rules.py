@@ -176,3 +176,25 @@ def test_fixtures_of_a_scope_are_not_paired_with_its_requests(spark, shuffled):
     rows, size = shuffled(derived.fixture_injections(requests, fixtures))
     assert sorted(map(tuple, rows)) == sorted((f"c{k}", "r", "x") for k in range(1, 2000, 2))
     assert size < 50_000
+
+
+def test_misses_are_not_paired_with_their_line_s_shapes(spark, shuffled):
+    from evigraph.operators import oracle
+
+    i, c = F.col("id"), F.lit
+    misses = spark.range(2000).select(i.alias("miss"), c("f").alias("path"), c(1).alias("line"), c("t").alias("t_path"), (i % 3).alias("t_line"), F.concat(c("q.n"), i % 5).alias("t_name"))
+    shapes = spark.range(600).select(c("f").alias("path"), c(1).alias("line"), c(4).alias("col"), F.concat(c("n"), i % 3).alias("name"), F.when(i % 3 == 0, "call").when(i % 3 == 1, F.when(i % 2 == 0, "a").otherwise("b")).otherwise("call").alias("shape"), c(None).cast("string").alias("decl"), c(None).cast("string").alias("recv"))
+    sites = spark.createDataFrame([("f", 1, "t", 0, 5), ("f", 1, "t", 0, 5)], "path string, line int, t_path string, t_line long, col int")
+    confirmed = spark.createDataFrame([("f", 1, "t", 2, "q.n4"), ("f", 1, "t", 2, "q.n4"), ("f", 1, "t", 1, "q.n3"), ("f", 1, "t", None, "q.n0")], "path string, line int, t_path string, t_line long, t_name string")
+    rows, size = shuffled(oracle.bucket_misses(misses, shapes, sites, confirmed))
+
+    def want(k):
+        at, own = k % 3 == 0, k % 5
+        if own == 4 and k % 3 != 2 or own == 3 and k % 3 != 1:
+            return "sibling", "sibling"
+        if own in (0, 2):
+            return "call", "exact" if at else "name"
+        return ("ambiguous", "ambiguous") if own == 1 or at else ("no-record", "none")
+
+    assert {r["miss"]: (r["bucket"], r["how"]) for r in rows} == {k: want(k) for k in range(2000)} and len(rows) == 2000
+    assert size < 50_000
