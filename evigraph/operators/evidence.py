@@ -108,10 +108,13 @@ def inside_interval(points: DataFrame, spans: DataFrame, on: str, point: str, st
     return p.join(s, [on, "__b"]).filter(F.col(point).between(F.col(start), F.col(end))).drop("__b")
 
 
-def innermost(points: DataFrame, spans: DataFrame, on: str, point: str, key: str, width: int) -> DataFrame:
-    """Of the spans (name, start, end) around each point, the shortest; ties to the later start, then the name."""
+def innermost(points: DataFrame, spans: DataFrame, on: str, point: str, key: str | list[str], width: int) -> DataFrame:
+    """Of the spans (name, start, end) around each point, the shortest; ties to the later start, then the name.
+
+    key must be made of the points' own values: a number given to their rows may differ when they're computed again.
+    """
     hit = inside_interval(points, spans, on, point, "start", "end", width)
-    best = hit.groupBy(key).agg(F.min_by("scope", F.struct((F.col("end") - F.col("start")).alias("w"), -F.col("start"), F.col("scope"))).alias("scope"))
+    best = hit.groupBy(*([key] if isinstance(key, str) else key)).agg(F.min_by("scope", F.struct((F.col("end") - F.col("start")).alias("w"), -F.col("start"), F.col("scope"))).alias("scope"))
     return points.join(best, key, "left")
 
 

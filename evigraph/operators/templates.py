@@ -29,6 +29,12 @@ def coverage(hunks: DataFrame, holes: DataFrame, width: int = 64) -> DataFrame:
     return rows.groupBy("template", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def _around(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Rows with the innermost symbol around their path and line, or null."""
+    places = innermost(rows.select("path", "line").distinct(), symbols, "path", "line", ["path", "line"], 128)
+    return rows.join(places, ["path", "line"], "left")
+
+
 def score_anchors(anchors: DataFrame, paths: DataFrame, symbols: DataFrame, hunks: DataFrame) -> DataFrame:
     """Per matcher of anchors (template, matcher, node): how many, and how many lie in a file and in a symbol that the change (template, path, line) touched.
 
@@ -56,8 +62,7 @@ def close_implied(holes: DataFrame, fills: DataFrame) -> DataFrame:
 
 def literal_anchors(hits: DataFrame, symbols: DataFrame) -> DataFrame:
     """(literal, path, line, symbol): hits (literal, path, line) of a literal with the innermost symbol (path, scope, start, end) around them."""
-    keyed = hits.select("literal", "path", "line").distinct().withColumn("k", F.monotonically_increasing_id())
-    return innermost(keyed, symbols, "path", "line", "k", 128).select("literal", "path", "line", F.col("scope").alias("symbol"))
+    return _around(hits.select("literal", "path", "line").distinct(), symbols).select("literal", "path", "line", F.col("scope").alias("symbol"))
 
 
 def anchor_candidates(unresolved: DataFrame, names: DataFrame, top: int = 5) -> DataFrame:

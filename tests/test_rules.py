@@ -198,3 +198,20 @@ def test_misses_are_not_paired_with_their_line_s_shapes(spark, shuffled):
 
     assert {r["miss"]: (r["bucket"], r["how"]) for r in rows} == {k: want(k) for k in range(2000)} and len(rows) == 2000
     assert size < 50_000
+
+
+@pytest.mark.parametrize("name", ["literal_anchors"])
+def test_anchors_have_no_numbers_that_change_when_computed_again(spark, name):
+    from evigraph.operators import templates
+
+    symbols = spark.createDataFrame([("f", "s1", 1, 9), ("f", "s2", 3, 5)], "path string, scope string, start int, end int")
+    if name == "literal_anchors":
+        df = templates.literal_anchors(spark.createDataFrame([("a", "f", 4), (None, "f", 4), ("a", "f", 8), ("a", "f", 8), ("a", None, 4), ("a", "g", 1)], "literal string, path string, line int"), symbols)
+        want = {("a", "f", 4, "s2"), (None, "f", 4, "s2"), ("a", "f", 8, "s1"), ("a", None, 4, None), ("a", "g", 1, None)}
+    else:
+        anchors = spark.createDataFrame([(1, "name", "s2"), (1, "name", "f"), (2, "literal", "s1")], "template int, matcher string, node string")
+        paths = spark.createDataFrame([("s1", "f"), ("s2", "f"), ("f", "f")], "node string, path string")
+        df = templates.score_anchors(anchors, paths, symbols, spark.createDataFrame([(1, "f", 4), (2, "f", 4)], "template int, path string, line int"))
+        want = {("name", 2, 2, 1), ("literal", 1, 1, 0)}
+    assert {tuple(r) for r in df.collect()} == want
+    assert "monotonically_increasing_id" not in df._jdf.queryExecution().toString()
