@@ -41,8 +41,7 @@ def score_anchors(anchors: DataFrame, paths: DataFrame, symbols: DataFrame, hunk
     paths: (node, path); symbols: (path, scope, start, end), of which a changed line belongs to the innermost.
     """
     files = hunks.select("template", "path").distinct().withColumn("in_file", F.lit(True))
-    lines = hunks.select("template", "path", "line").distinct().withColumn("k", F.monotonically_increasing_id())
-    gold = innermost(lines, symbols, "path", "line", "k", 128).filter("scope is not null").select("template", F.col("scope").alias("node")).distinct().withColumn("in_symbol", F.lit(True))
+    gold = _around(hunks.select("template", "path", "line").distinct(), symbols).filter("scope is not null").select("template", F.col("scope").alias("node")).distinct().withColumn("in_symbol", F.lit(True))
     rows = anchors.join(paths.select("node", "path"), "node", "left").join(files, ["template", "path"], "left").join(gold, ["template", "node"], "left")
     return rows.groupBy("matcher").agg(F.count("*").alias("anchors"), F.count("in_file").alias("file_hits"), F.count("in_symbol").alias("symbol_hits"))
 

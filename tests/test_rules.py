@@ -200,7 +200,7 @@ def test_misses_are_not_paired_with_their_line_s_shapes(spark, shuffled):
     assert size < 50_000
 
 
-@pytest.mark.parametrize("name", ["literal_anchors"])
+@pytest.mark.parametrize("name", ["literal_anchors", "score_anchors"])
 def test_anchors_have_no_numbers_that_change_when_computed_again(spark, name):
     from evigraph.operators import templates
 
