@@ -85,15 +85,18 @@ def sites_of(refs: DataFrame, files: DataFrame, symbols: DataFrame, lines: DataF
     stands on; the innermost symbol (path, id, start, end, captured, reason) that
     holds its anchor, an insertion needing the line before and the one after; its
     file (path, captured, reason); else the file is unmapped. whole: the file is
-    new or renamed, and only its own entry counts.
+    new or renamed, and only its own entry counts. Of symbols with the same lines,
+    the one with the highest place in the map counts, where symbols have a place;
+    then the least id.
     """
+    symbols = symbols.select("path", "id", "start", "end", "captured", "reason", (F.col("place") if "place" in symbols.columns else F.lit(0)).alias("place"))
     rows = refs.join(files.select("path", F.col("captured").alias("f_captured"), F.col("reason").alias("f_reason")), "path", "left")
     anchored = F.col("f_captured").isNotNull() & ~F.col("whole") & F.col("parent").isNotNull()
     at_line = lines.filter("line is not null").groupBy("path", F.col("line").alias("parent")).agg(F.min("reason").alias("l_reason")).withColumn("l", F.lit(True))
     rows = rows.join(at_line, ["path", "parent"], "left").withColumn("by_line", anchored & (F.col("action") == "replace") & F.col("l").isNotNull())
     points = rows.filter(anchored & ~F.col("by_line")).select("ref", "path", "action", "parent")
-    hit = inside_interval(points, symbols.select("path", "id", "start", "end", "captured", "reason"), "path", "parent", "start", "end", 256).filter("action = 'replace' or parent + 1 <= end")
-    best = hit.groupBy("ref").agg(F.min_by(F.struct("id", "captured", "reason"), F.struct((F.col("end") - F.col("start")).alias("w"), "start", "id")).alias("s"))
+    hit = inside_interval(points, symbols, "path", "parent", "start", "end", 256).filter("action = 'replace' or parent + 1 <= end")
+    best = hit.groupBy("ref").agg(F.min_by(F.struct("id", "captured", "reason"), F.struct((F.col("end") - F.col("start")).alias("w"), "start", (-F.col("place")).alias("p"), "id")).alias("s"))
     rows = rows.join(best, "ref", "left")
     pick = lambda line, symbol, file, none: F.when(F.col("by_line"), line).when(F.col("s").isNotNull(), symbol).when(F.col("f_captured").isNotNull(), file).otherwise(none)
     return rows.select(

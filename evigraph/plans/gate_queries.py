@@ -82,7 +82,7 @@ def _site_inputs(spark, d):
     i = F.col("id")
     files = spark.range(30).select(_cat("s", i).alias("path"), (i % 3 != 0).alias("captured"), _cat("r", i).alias("reason"))
     start = F.col("s_suppkey") % 50 + 1
-    symbols = s.select(_cat("s", F.col("s_suppkey") % 40).alias("path"), _cat("y", F.col("s_suppkey")).alias("id"), start.alias("start"), (start + F.col("s_nationkey")).alias("end"), (F.col("s_suppkey") % 2 == 0).alias("captured"), _cat("q", F.col("s_suppkey")).alias("reason"))
+    symbols = s.select(_cat("s", F.col("s_suppkey") % 40).alias("path"), _cat("y", F.col("s_suppkey")).alias("id"), start.alias("start"), (start + F.col("s_nationkey")).alias("end"), (F.col("s_suppkey") % 2 == 0).alias("captured"), _cat("q", F.col("s_suppkey")).alias("reason"), F.col("s_suppkey").alias("place"))
     lines = spark.range(30).select(_cat("s", i).alias("path"), (i + 7).alias("line"), _cat("l", i).alias("reason"))
     return refs, files, symbols, lines
 

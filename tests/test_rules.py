@@ -215,3 +215,16 @@ def test_anchors_have_no_numbers_that_change_when_computed_again(spark, name):
         want = {("name", 2, 2, 1), ("literal", 1, 1, 0)}
     assert {tuple(r) for r in df.collect()} == want
     assert "monotonically_increasing_id" not in df._jdf.queryExecution().toString()
+
+
+def test_sites_of_symbols_with_the_same_lines(spark):
+    from evigraph.operators import gate
+
+    refs = spark.createDataFrame([(1, "f", "replace", 4, False)], "ref int, path string, action string, parent int, whole boolean")
+    files = spark.createDataFrame([("f", True, "r")], "path string, captured boolean, reason string")
+    symbols = spark.createDataFrame([("f", "y10", 3, 6, False, "q10", 10), ("f", "y9", 3, 6, False, "q9", 9), ("f", "y11", 2, 6, False, "q11", 11)], "path string, id string, start int, end int, captured boolean, reason string, place int")
+    lines = spark.createDataFrame([], "path string, line int, reason string")
+    assert tuple(gate.sites_of(refs, files, symbols, lines).first()) == (1, "symbol", "y10", False, "q10")
+    more = symbols.union(spark.createDataFrame([("f", "y7", 3, 6, True, "q7", 12)], symbols.schema))
+    assert gate.sites_of(refs, files, more, lines).first()["id"] == "y7"
+    assert gate.sites_of(refs, files, more.drop("place"), lines).first()["id"] == "y10"
