@@ -19,6 +19,8 @@ from evigraph.llm._text import cut, in_fold, read
 
 #: The least share of a document's words that its language must have.
 MIN_SHARE = 0.5
+#: Ids that are broadcast at once.
+PASS_IDS = 1 << 21
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -47,8 +49,17 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with a null id, and rows without words, aren't copies of anything and stay.
     """
     found = jaccard_join.jaccard_components(docs)
-    kept = found.filter("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
+    dropped = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept")).filter("not kept")
+    return without_ids(docs, cut(dropped.select("doc_id"), "near-copies"))
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows whose id isn't among the distinct ones of dropped, in passes that broadcast at most PASS_IDS each: no text is shuffled."""
+    passes = -(-dropped.count() // PASS_IDS)
+    for k in range(passes):
+        own = dropped.filter(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == k)
+        docs = docs.join(F.broadcast(own.select(F.col("doc_id").alias("__dropped"))), F.col("doc_id") == F.col("__dropped"), "left_anti")
+    return docs
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

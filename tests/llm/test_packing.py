@@ -140,3 +140,23 @@ def test_pipeline_stages_take_odd_rows_and_clashing_columns(spark, small, docs,
         assert (p.STAGES[-1][1](spark, df, small).count() > 0) == some
     kept = [r["doc_id"] for r in p.STAGES[1][1](spark, odd, small).collect()]
     assert kept.count(None) == 1 and kept.count(5) == 2 and not set(kept) & {0, 1, 2, 3}
+
+
+def test_near_copy_stage_shuffles_no_texts(spark, docs, monkeypatch):
+    import random
+
+    import corpus_pipeline as p
+    from bench import totals
+
+    monkeypatch.setattr(p, "PASS_IDS", 3)
+    rng = random.Random(6)
+    long = ["".join(rng.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=100_000)) for _ in range(20)]
+    rows = [(k, " ".join(["one two three four five"] * (k < 3) + [f"w{k // 2}x{j}" for j in range(60)] + [long[k]])) for k in range(20)] + [(None, "no id"), (0, "id again"), (99, None)]
+    before, kept = totals(spark)[1], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = p.near_copy_stage(spark, docs(rows), "").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted([*range(0, 20, 2), None, 0, 99], key=str)
+    assert totals(spark)[1] - before < sum(map(len, long)) / 2
