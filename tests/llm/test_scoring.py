@@ -262,3 +262,12 @@ def test_mixing_odd_rows(spark, docs, awkward):
     model = given(none, counts)
     assert context_mixing.score_documents(none, *model).count() == 0
     assert all(abs(r["base_score"]) < 1e-6 for r in context_mixing.score_documents(df, *model).collect())
+
+
+def test_every_two_word_context_takes_part():
+    from evigraph.llm import context_mixing as cm
+
+    raw = np.frombuffer(b"a b c d e f g h i j k l m n o p", np.uint8)
+    t = cm.Tokens.of(raw, np.array([0, len(raw)]))
+    at, part, keys = cm.pair_keys(t, np.zeros(len(t.h), np.int64))
+    assert at.tolist() == list(range(17)) and len(part) == len(keys) == 17 and part.max() < 1 << 15
