@@ -271,3 +271,36 @@ def test_every_two_word_context_takes_part():
     t = cm.Tokens.of(raw, np.array([0, len(raw)]))
     at, part, keys = cm.pair_keys(t, np.zeros(len(t.h), np.int64))
     assert at.tolist() == list(range(17)) and len(part) == len(keys) == 17 and part.max() < 1 << 15
+
+
+def test_questions_are_what_is_learned_from_and_stay_small(spark, docs):
+    """Sent once, the tokens of a corpus serve both; a token takes some ten bytes, where it took fourteen and those of the training pass."""
+    from evigraph.llm import context_mixing as cm
+
+    rng = random.Random(9)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(400)) for _ in range(200)]
+    df = docs([*texts, *texts[:40]]).withColumn("held_out", F.col("doc_id") % 5 == 1).coalesce(1)
+    train = df.filter("not held_out")
+    counts = cm.count_tokens(train)
+    model, pairs = cm.fit(train, counts)
+    once, apart = ({r["doc_id"]: r for r in cm.score_documents(df, model, counts, *given).collect()} for given in ((), (pairs,)))
+    assert once == apart and len(once) == 240
+    asked = df.select("doc_id", "held_out", "text").mapInArrow(cm._score(spark.sparkContext.broadcast(model)), cm.ASKED)
+    size = asked.select(sum(F.sum(F.coalesce(F.octet_length(b), F.lit(0))) for b in cm.BLOBS)).first()[0]
+    assert size < 12 * sum(r["n_tokens"] for r in once.values())
+
+
+def test_packed_numbers_and_gathered_counts(monkeypatch):
+    from evigraph.llm import context_mixing as cm
+
+    rng = np.random.default_rng(3)
+    for n, width in ((0, 8), (1, 8), (1000, 8), (1000, 2), (1000, 1)):
+        x = rng.integers(0, 2 ** min(63, 8 * width), n).astype(np.uint64)
+        assert (cm.unpacked(cm.packed(x, width), width) == x).all() and (cm.unpacked_rising(cm.packed_rising(np.sort(x))) == np.sort(x)).all()
+    monkeypatch.setattr(cm, "_FLUSH", 50)
+    keys, seen = rng.integers(0, 40, 5000).astype(np.uint64), cm.Gathered()
+    for own in np.split(keys, 100):
+        seen.add(own)
+    got = seen.counts()
+    assert sum(len(k) for k, _ in seen.held) <= 40
+    assert all((a == b).all() for a, b in zip(got, np.unique(keys, return_counts=True), strict=True))
