@@ -15,13 +15,13 @@ def coverage(hunks: DataFrame, holes: DataFrame, width: int = 64) -> DataFrame:
     """(template, bucket, n): hunks (template, hunk, path, start, end, created) by what of their template (template, path, start, end, type) they touch:
     a new file, a symbol's hole, a region, or nothing.
 
-    Overlaps are found by buckets of lines.
+    Hunks not known to be new files count by what they touch. Overlaps are found by buckets of lines.
     """
     def deal(df: DataFrame) -> DataFrame:
         return df.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
 
     h = deal(holes.select("template", "path", "start", "end", (F.col("type").isin(SYMBOL_HOLES)).alias("symbol"), (F.col("type") == "MODULE_REGION").alias("region")))
-    asked = deal(hunks.filter("not created").select("template", "hunk", "path", "start", "end"))
+    asked = deal(hunks.filter("created is distinct from true").select("template", "hunk", "path", "start", "end"))
     both = asked.alias("x").join(h.alias("h"), ["template", "path", "__b"]).filter("h.start <= x.end and x.start <= h.end")
     touched = both.groupBy("template", "hunk").agg(F.bool_or("symbol").alias("symbol"), F.bool_or("region").alias("region"))
     rows = hunks.join(touched, ["template", "hunk"], "left")

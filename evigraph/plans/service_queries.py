@@ -155,7 +155,8 @@ HUNKS = """hu AS (SELECT l_orderkey % 40 AS template, l_orderkey * 10 + l_linenu
 def _hunks(spark, d):
     c, li = F.col, table(spark, d, "lineitem")
     hunks = li.filter("l_quantity < 6").select((c("l_orderkey") % 40).alias("template"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("hunk"), _cat("f", c("l_partkey") % 20).alias("path"), (c("l_partkey") % 90).alias("start"), (c("l_partkey") % 90 + c("l_linenumber")).alias("end"), (c("l_tax") == 0.08).alias("created"))
-    first = hunks.groupBy("hunk").agg(F.min(F.struct("path", "start", "end", "template", "created")).alias("h")).select("hunk", "h.*")
+    order = [x for k in ("path", "start", "end") for x in (c(k).isNull().alias(f"no_{k}"), c(k))]  # nulls last, as in the SQL
+    first = hunks.groupBy("hunk").agg(F.min(F.struct(*order, "template", "created")).alias("h")).select("hunk", *(f"h.{k}" for k in ("path", "start", "end", "template", "created")))
     k = c("l_linenumber") % 3
     holes = li.filter("l_quantity > 48").select((c("l_orderkey") % 40).alias("template"), _cat("f", c("l_partkey") % 20).alias("path"), (c("l_suppkey") % 90).alias("start"), (c("l_suppkey") % 90 + 6).alias("end"), F.when(k == 0, "BODY").when(k == 1, "MODULE_REGION").otherwise("NOTE").alias("type"))
     return first, holes

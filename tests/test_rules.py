@@ -228,3 +228,24 @@ def test_sites_of_symbols_with_the_same_lines(spark):
     more = symbols.union(spark.createDataFrame([("f", "y7", 3, 6, True, "q7", 12)], symbols.schema))
     assert gate.sites_of(refs, files, more, lines).first()["id"] == "y7"
     assert gate.sites_of(refs, files, more.drop("place"), lines).first()["id"] == "y10"
+
+
+def test_hunks_without_a_part_or_tax_count_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    from evigraph.plans import ORACLE_SQL, QUERIES
+
+    rows = [
+        (40, 20, 15, 3, 50.0, 0.0), (41, 20, 15, 4, 50.0, 0.0),  # a body's hole of template 0, a region of template 1
+        (80, None, 1, 1, 5.0, 0.0), (80, 20, 1, 1, 5.0, 0.0),  # of a hunk's rows one without a part comes last
+        (81, 38, 1, 2, 5.0, 0.08), (81, 20, 1, 2, 5.0, 0.0), (81, None, 1, 2, 5.0, 0.08),
+        (120, 20, 1, 1, 5.0, None), (121, 20, 1, 1, 5.0, None), (122, 20, 1, 1, 5.0, None),  # without a tax: not known to be new
+        (160, None, 1, 1, 5.0, 0.08), (200, 20, 1, None, 5.0, 0.08), (None, 20, 1, 1, 5.0, 0.0), (240, 20, 1, 1, None, 0.08),
+    ]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_tax double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = {(t, b): n for t, b, n in con.sql(ORACLE_SQL["template_coverage"]).fetchall()}
+    assert want[0, "symbol"] == 2 and want[1, "region"] == 2
+    assert {(r["template"], r["bucket"]): r["n"] for r in QUERIES["template_coverage"](spark, str(tmp_path)).collect()} == want
