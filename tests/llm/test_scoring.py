@@ -304,3 +304,66 @@ def test_packed_numbers_and_gathered_counts(monkeypatch):
     got = seen.counts()
     assert sum(len(k) for k, _ in seen.held) <= 40
     assert all((a == b).all() for a, b in zip(got, np.unique(keys, return_counts=True), strict=True))
+
+
+def test_pair_contexts_of_coded_words_travel_as_symbols():
+    """The share finds the same contexts, in fewer bytes than the hashes took."""
+    from evigraph.llm import context_mixing as cm
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(2000)}" if rng.random() < 0.9 else f"rare{rng.random()}" for _ in range(rng.randrange(900))) for _ in range(40)] + ["", "w1"]
+    (_, _, raw, offs), = text_blocks(pa.array(texts), 1 << 22)
+    t = cm.Tokens.of(raw, offs)
+    keys, counts = np.unique(t.h, return_counts=True)
+    own = counts > 1
+    code = cm.make_code(keys[own], counts[own], len(t.h), np.ones(256, int))
+    symbol = code.lookup(t.h)
+    asked = cm.pair_keys(t, symbol)[2]
+    for some in (slice(None), slice(0, 1000), slice(0, 1), slice(0, 0)):
+        blobs = cm.packed_pairs(asked[some], *(x[some] for x in cm.pair_symbols(t, symbol)))
+        assert (cm.unpacked_pairs(*blobs, code.hashes()) == asked[some]).all()
+    assert sum(map(len, cm.packed_pairs(asked, *cm.pair_symbols(t, symbol)))) < 0.85 * len(cm.packed(asked))
+
+
+def test_the_driver_makes_neither_paths_of_objects_nor_whole_tables(spark, docs):
+    """What the driver holds beside the tables grows with the sample; before, a code took 180 MB in objects and its sample's counts 48 MB."""
+    import tracemalloc
+
+    from evigraph.llm import context_mixing as cm
+
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(300)) for _ in range(60)]
+    many = np.sort((1e6 / np.arange(1, cm.CODE_WORDS + 1)).astype(np.int64) + 1)[::-1]
+    tracemalloc.start()
+    cm.prefix_code(many)
+    path_peak = tracemalloc.get_traced_memory()[1]
+    (_, _, raw, offs), = text_blocks(pa.array(texts), 1 << 22)
+    t = cm.Tokens.of(raw, offs)
+    keys, counts = np.unique(t.h, return_counts=True)
+    code = cm.make_code(keys, counts, len(t.h), np.ones(256, int))
+    tracemalloc.reset_peak()
+    sample = [(x, 1 + k % 2) for k, x in enumerate(texts[:5])]
+    segments = cm.sample_counts(sample, code)
+    sample_peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert path_peak < 60e6 and sample_peak < 30e6
+
+    def dense(rows):
+        tables = cm._tables(code.sizes)
+        for x, n in rows:
+            (_, _, raw, offs), = text_blocks(pa.array([x]), 1 << 22)
+            own = cm.Tokens.of(raw, offs)
+            for _ in range(n):
+                cm.add_bits(tables, own, code, code.lookup(own.h))
+        return tables
+
+    rest = [(x, 1) for x in texts[5:]]
+    counted = cm._count(spark.sparkContext.broadcast(code))
+    shared = spark.sparkContext.broadcast(segments)
+    merged = docs([x for x, _ in rest]).select("text").mapInArrow(counted, "k int, segment int, counts binary").groupBy("k", "segment").applyInArrow(cm._merge_counts(shared), cm.MERGED).toArrow()
+    tables, before = cm.read_tables(merged, code, segments)
+    drawn, others = dense(sample), dense(rest)
+    for k in range(len(tables)):
+        assert (tables[k] == cm._state(drawn[k] + others[k])).all()
+        at = np.flatnonzero(drawn[k].reshape(-1, 2).sum(axis=1))
+        assert (before[k][at] == cm._state(others[k])[at]).all()
