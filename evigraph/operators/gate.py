@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from evigraph.operators.evidence import inside_interval
 from evigraph.operators.rules import TESTED_BY_GRAPH, importer_matches, scope_matches
+from evigraph.sources.scratch import materialise
 
 # Classes of a diff's references, what they do to a verdict, and which of them a blind spot may hide.
 BLOCKING = ["invented", "near-miss", "arity", "undeclared-type", "import-outside", "unimported", "malformed", "partition"]
 HIDDEN_BY_BLIND_SPOTS = ["invented", "near-miss"]
 SUPPORT_DIRS = ["testdata", "__fixtures__", "__snapshots__"]
+#: Places with their symbols that are broadcast at most.
+PLACES = 1 << 17
 
 
 def plan_gate(adds: DataFrame, rules: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -87,17 +90,21 @@ def sites_of(refs: DataFrame, files: DataFrame, symbols: DataFrame, lines: DataF
     file (path, captured, reason); else the file is unmapped. whole: the file is
     new or renamed, and only its own entry counts. Of symbols with the same lines,
     the one with the highest place in the map counts, where symbols have a place;
-    then the least id.
+    then the least id. Symbols meet the distinct places of references, not each.
     """
     symbols = symbols.select("path", "id", "start", "end", "captured", "reason", (F.col("place") if "place" in symbols.columns else F.lit(0)).alias("place"))
     rows = refs.join(files.select("path", F.col("captured").alias("f_captured"), F.col("reason").alias("f_reason")), "path", "left")
     anchored = F.col("f_captured").isNotNull() & ~F.col("whole") & F.col("parent").isNotNull()
     at_line = lines.filter("line is not null").groupBy("path", F.col("line").alias("parent")).agg(F.min("reason").alias("l_reason")).withColumn("l", F.lit(True))
     rows = rows.join(at_line, ["path", "parent"], "left").withColumn("by_line", anchored & (F.col("action") == "replace") & F.col("l").isNotNull())
-    points = rows.filter(anchored & ~F.col("by_line")).select("ref", "path", "action", "parent")
-    hit = inside_interval(points, symbols, "path", "parent", "start", "end", 256).filter("action = 'replace' or parent + 1 <= end")
-    best = hit.groupBy("ref").agg(F.min_by(F.struct("id", "captured", "reason"), F.struct((F.col("end") - F.col("start")).alias("w"), "start", (-F.col("place")).alias("p"), "id")).alias("s"))
-    rows = rows.join(best, "ref", "left")
+    symbols = symbols.groupBy("path", "start", "end").agg(F.min_by(F.struct("id", "captured", "reason"), F.struct((-F.col("place")).alias("p"), "id")).alias("s"))
+    rows = rows.withColumns({"asked": anchored & ~F.col("by_line"), "replaces": F.col("action") == "replace"})
+    points = rows.filter("asked").select("path", "parent", "replaces").distinct()  # a place is looked up once, however many references stand there
+    hit = inside_interval(points, symbols, "path", "parent", "start", "end", 256).filter("replaces or parent + 1 <= end")
+    best = hit.groupBy("path", "parent", "replaces").agg(F.min_by("s", F.struct((F.col("end") - F.col("start")).alias("w"), "start")).alias("s"))
+    best = materialise(best.withColumn("asked", F.lit(True)), "places")
+    held = best.count() <= PLACES
+    rows = rows.join(F.broadcast(best) if held else best, ["path", "parent", "replaces", "asked"], "left")
     pick = lambda line, symbol, file, none: F.when(F.col("by_line"), line).when(F.col("s").isNotNull(), symbol).when(F.col("f_captured").isNotNull(), file).otherwise(none)
     return rows.select(
         "ref", pick(F.lit("site"), F.lit("symbol"), F.lit("file"), F.lit("file")).alias("grain"), pick(F.concat_ws(":", "path", "parent"), F.col("s.id"), F.col("path"), F.col("path")).alias("id"),

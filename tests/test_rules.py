@@ -217,6 +217,22 @@ def test_anchors_have_no_numbers_that_change_when_computed_again(spark, name):
     assert "monotonically_increasing_id" not in df._jdf.queryExecution().toString()
 
 
+def test_sites_of_many_references_at_a_place(spark, monkeypatch):
+    """Symbols meet a place once, however many references stand there and symbols have the same lines."""
+    from evigraph.operators import gate
+
+    met = []
+    real = gate.inside_interval
+    monkeypatch.setattr(gate, "inside_interval", lambda *a: met.append(real(*a)) or met[-1])
+    refs = spark.range(400).selectExpr("id ref", "'a' path", "if(id % 2 = 0, 'insert', 'replace') action", "8L parent", "false whole")
+    files = spark.createDataFrame([("a", True, None)], "path string, captured boolean, reason string")
+    symbols = spark.range(60).selectExpr("'a' path", "'y' || id id", "5L start", "8 + id % 3 as end", "id % 2 = 0 captured", "'q' || id reason", "id place")
+    lines = spark.createDataFrame([], "path string, line long, reason string")
+    got = {(r["ref"] % 2, r["id"], r["captured"], r["reason"]) for r in gate.sites_of(refs, files, symbols, lines).collect()}
+    assert got == {(0, "y58", True, None), (1, "y57", False, "q57")}
+    assert met[0].count() <= 6
+
+
 def test_sites_of_symbols_with_the_same_lines(spark):
     from evigraph.operators import gate
 
